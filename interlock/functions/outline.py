@@ -1,8 +1,8 @@
 """Packed outlines and side vectors.
 
-An outline is a list of integer vertices.  For a shuffle it is packed into the
-steps between successive vertices, two bytes a coordinate (four, and one marker
-byte, where a step is larger), which also removes its place in the photo.
+An outline is a list of integer vertices.  For a shuffle it is packed into a marker
+byte and the steps between successive vertices, in the narrowest of one, two, four or
+eight bytes a coordinate that holds them all; that also removes its place in the photo.
 
 ``side_vectors`` gives the 54 numbers of a side: 27 points at equal arc length,
 the first at the origin, the last at (1, 0).
@@ -17,6 +17,10 @@ POINTS = 27
 DIMS = 2 * POINTS
 #: Array elements in flight at once; bounds the memory of one call.
 _CHUNK = 2_000_000
+#: Marker bytes and the widths they stand for.
+_MARKS = (b"b", b"h", b"i", b"q")
+_TYPES = ("<i1", "<i2", "<i4", "<i8")
+_LIMITS = np.array([127, 32767, 2**31 - 1])
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,36 +63,37 @@ def pack(column: pa.Array) -> list[bytes | None]:
     """One packed outline per row, null where the row is no whole outline."""
     xy, offsets, ok = _flat(column)
     steps = np.diff(xy, axis=0) if len(xy) else xy
-    small = np.clip(steps, -32768, 32767).astype("<i2")
-    wide = (small != steps).any(axis=1) if len(steps) else np.zeros(0, bool)
-    many = np.concatenate([[0], np.cumsum(wide)])
+    size = np.abs(steps).max(axis=1) if len(steps) else np.zeros(0, np.int64)
+    kind_of = np.searchsorted(_LIMITS, size)
+    data = [steps.astype(t).tobytes() for t in _TYPES]
     out: list[bytes | None] = []
     for i, fine in enumerate(ok):
         if not fine:
             out.append(None)
             continue
         a, b = offsets[i], offsets[i + 1] - 1
-        if many[b] - many[a]:
-            out.append(b"W" + steps[a:b].astype("<i4").tobytes())
-        else:
-            out.append(small[a:b].tobytes())
+        k = int(kind_of[a:b].max())
+        w = 2 << k
+        out.append(_MARKS[k] + data[k][a * w : b * w])
     return out
 
 
 def unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates (n, 2) with every first vertex at the origin, and offsets."""
-    parts, lengths = [], np.empty(len(packed), np.int64)
-    if all(len(p) % 2 == 0 for p in packed):
-        steps = np.frombuffer(b"".join(packed), "<i2").reshape(-1, 2).astype(np.int64)
-        lengths[:] = [len(p) // 4 for p in packed]
-    else:
-        for i, p in enumerate(packed):
-            s = np.frombuffer(p[1:], "<i4") if len(p) % 2 else np.frombuffer(p, "<i2")
-            parts.append(s.reshape(-1, 2).astype(np.int64))
-            lengths[i] = len(s) // 2
-        steps = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
-    total = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(steps, axis=0)])
+    lengths = np.array([(len(p) - 1) // (2 << _MARKS.index(p[:1])) for p in packed], np.int64)
     ends = np.cumsum(lengths)
+    steps = np.empty((ends[-1] if len(ends) else 0, 2), np.int64)
+    marks = np.array([_MARKS.index(p[:1]) for p in packed])
+    for k, t in enumerate(_TYPES):
+        rows = np.flatnonzero(marks == k)
+        if len(rows):
+            here = np.frombuffer(b"".join(packed[i][1:] for i in rows), t).reshape(-1, 2)
+            if len(rows) == len(packed):
+                steps[:] = here
+            else:
+                n = lengths[rows]
+                steps[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[rows] - n, n)] = here
+    total = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(steps, axis=0)])
     starts = ends - lengths
     offsets = np.concatenate([[0], np.cumsum(lengths + 1)]).astype(np.int64)
     row_of = np.repeat(np.arange(len(packed)), lengths + 1)
