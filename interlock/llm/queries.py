@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from interlock.llm.components import view_groups
+from interlock.llm.history import repeats
 from interlock.llm.survivor import fused_groups, fused_views, most_central
 from interlock.llm.topn import top_n_per_group
-from interlock.operators.pieces import usable_ids
+from interlock.operators.pieces import usable_ids, usable_pieces
 from interlock.plans.registry import Registry
 from interlock.session import read_table, staged
 
@@ -42,6 +44,14 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return top_n_per_group(rows, ["piece_id", "side"], ["other_piece", "other_side"], "err", 5).drop("err")
 
 
+@REGISTRY.query()
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """Each piece that repeats an accepted piece of an earlier batch, with that piece."""
+    pieces = staged(usable_pieces(read_table(spark, base, "sides")), "pieces")
+    found = repeats(pieces)
+    return found.select(F.least("x", "y").alias("piece_a"), F.greatest("x", "y").alias("piece_b"))
+
+
 def _groups(spark: SparkSession, base: str) -> DataFrame:
     return view_groups(read_table(spark, base, "pair_meta"), usable_ids(read_table(spark, base, "sides")))
 
