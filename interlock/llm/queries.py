@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from interlock.llm.components import view_groups
 from interlock.llm.history import repeats
+from interlock.llm.neighbours import nearest_sides
 from interlock.llm.survivor import fused_groups, fused_views, most_central
 from interlock.llm.topn import top_n_per_group
 from interlock.operators.pieces import usable_ids, usable_pieces
@@ -83,3 +84,9 @@ def p5_fused(spark: SparkSession, base: str) -> DataFrame:
     """Photo width and height of each group, by truth discovery among its views."""
     groups = staged(_groups(spark, base), "groups")
     return fused_groups(fused_views(read_table(spark, base, "sides"), groups))
+
+
+@REGISTRY.query()
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    """Up to five sides of other pieces with the most similar outline, for every side that is no edge."""
+    return nearest_sides(read_table(spark, base, "sides")).drop("distance")
