@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from interlock.llm.components import view_groups
 from interlock.llm.history import repeats
+from interlock.llm.mixing import mix
 from interlock.llm.neighbours import nearest_sides
 from interlock.llm.survivor import fused_groups, fused_views, most_central
+from interlock.llm.tokens import encode
 from interlock.llm.topn import top_n_per_group
 from interlock.operators.pieces import usable_ids, usable_pieces
 from interlock.plans.registry import Registry
@@ -90,3 +92,21 @@ def p5_fused(spark: SparkSession, base: str) -> DataFrame:
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     """Up to five sides of other pieces with the most similar outline, for every side that is no edge."""
     return nearest_sides(read_table(spark, base, "sides")).drop("distance")
+
+
+@REGISTRY.query()
+def p8_ids(spark: SparkSession, base: str) -> DataFrame:
+    """The token ids of every text."""
+    return encode(read_table(spark, base, "documents"))
+
+
+@REGISTRY.query()
+def p9_mix(spark: SparkSession, base: str) -> DataFrame:
+    """The texts drawn so that every source comes near its target share of all tokens."""
+    return mix(read_table(spark, base, "documents"), read_table(spark, base, "mix_targets"))[0]
+
+
+@REGISTRY.query()
+def p9_shares(spark: SparkSession, base: str) -> DataFrame:
+    """The share of all drawn tokens that each target source reached."""
+    return mix(read_table(spark, base, "documents"), read_table(spark, base, "mix_targets"))[1]
