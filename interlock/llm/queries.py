@@ -9,6 +9,7 @@ from interlock.llm.components import view_groups
 from interlock.llm.history import repeats
 from interlock.llm.mixing import mix
 from interlock.llm.neighbours import nearest_sides
+from interlock.llm.personal import personal_spans, redact
 from interlock.llm.survivor import fused_groups, fused_views, most_central
 from interlock.llm.tokens import encode
 from interlock.llm.topn import top_n_per_group
@@ -110,3 +111,15 @@ def p9_mix(spark: SparkSession, base: str) -> DataFrame:
 def p9_shares(spark: SparkSession, base: str) -> DataFrame:
     """The share of all drawn tokens that each target source reached."""
     return mix(read_table(spark, base, "documents"), read_table(spark, base, "mix_targets"))[1]
+
+
+@REGISTRY.query()
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    """Each personal detail in the texts, by its kind and first place."""
+    return personal_spans(read_table(spark, base, "documents"), read_table(spark, base, "contributors")).drop("end_pos")
+
+
+@REGISTRY.query()
+def p10_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """The texts with personal details replaced by marks of their kind."""
+    return redact(read_table(spark, base, "documents"), read_table(spark, base, "contributors"))
