@@ -47,7 +47,7 @@ def ncc_gaps(spark: SparkSession, base: str) -> DataFrame:
 @REGISTRY.query(
     _META_SQL
     + """, t AS (SELECT range AS k FROM range(300, 960, 5))
-SELECT round(k * 0.001, 6) AS threshold, sum((confirmed AND round(ncc * 1000, 3) < k)::INT)::BIGINT AS confirmed_below, sum((NOT confirmed AND round(ncc * 1000, 3) >= k)::INT)::BIGINT AS rejected_above,
+SELECT round(k * 0.001::DOUBLE, 6) AS threshold, sum((confirmed AND round(ncc * 1000, 3) < k)::INT)::BIGINT AS confirmed_below, sum((NOT confirmed AND round(ncc * 1000, 3) >= k)::INT)::BIGINT AS rejected_above,
  sum((confirmed AND round(ncc * 1000, 3) < k)::INT)::BIGINT + sum((NOT confirmed AND round(ncc * 1000, 3) >= k)::INT)::BIGINT AS wrong FROM t, m GROUP BY k"""
 )
 def ncc_sweep(spark: SparkSession, base: str) -> DataFrame:
@@ -93,13 +93,13 @@ def group_representative(spark: SparkSession, base: str) -> DataFrame:
     _LINKS_SQL
     + """, c AS (SELECT piece_id, max({'t': ingested_at, 'v': photo_space_centroid}) FILTER (photo_space_centroid IS NOT NULL) AS m FROM sides GROUP BY 1), x AS (SELECT group_id, m.v[1] AS a, m.v[2] AS b FROM g JOIN c ON c.piece_id = g.id WHERE m IS NOT NULL),
  u AS (SELECT group_id, avg(a) AS ma, avg(b) AS mb, greatest(max(a) - avg(a), avg(a) - min(a), max(b) - avg(b), avg(b) - min(b)) AS w FROM x GROUP BY 1)
-SELECT group_id, [round(ma, 4), round(mb, 4)] AS fused, round(w, 4) AS max_diff FROM u"""
+SELECT group_id, [round(ma, 6), round(mb, 6)] AS fused, round(w, 6) AS max_diff FROM u"""
 )
 def view_fusion(spark: SparkSession, base: str) -> DataFrame:
     """Mean centroid of each group's views."""
     c = current_values(read_table(spark, base, "sides"), ["photo_space_centroid"]).where("photo_space_centroid is not null")
     f = dedup.fused(_groups(spark, base).join(c.withColumnRenamed("piece_id", "id"), "id"), "group_id", "photo_space_centroid")
-    return f.select("group_id", F.transform("fused", lambda v: F.round(v, 4)).alias("fused"), F.round("max_diff", 4).alias("max_diff"))
+    return f.select("group_id", F.transform("fused", lambda v: F.round(v, 6)).alias("fused"), F.round("max_diff", 6).alias("max_diff"))
 
 
 @REGISTRY.query(
