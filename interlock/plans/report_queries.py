@@ -174,15 +174,15 @@ def histogram_corr(spark: SparkSession, base: str) -> DataFrame:
 
 
 @REGISTRY.query(
-    """WITH f AS (SELECT piece_id, side, other_piece, other_side, err / 1000.0::DOUBLE AS e, ((piece_id + other_piece) % 11) / 10.0::DOUBLE AS k FROM fits WHERE err IS NOT NULL AND other_piece IS NOT NULL AND err <> 1000000)
-SELECT piece_id, side, other_piece, other_side, round(CASE WHEN e <= 7 THEN e * (1 - 0.3 * k) ELSE e END, 4) AS err FROM f WHERE true"""
+    """WITH f AS (SELECT piece_id, side, other_piece, other_side, err::DOUBLE / 1000 AS e, ((piece_id + other_piece) % 11)::DOUBLE / 10 AS k FROM fits WHERE err IS NOT NULL AND other_piece IS NOT NULL AND err <> 1000000)
+SELECT piece_id, side, other_piece, other_side, round(CASE WHEN e <= 7 THEN e * (1 - 0.3::DOUBLE * least(1, k)) ELSE e END, 6) AS err FROM f WHERE true"""
 )
 def color_adjust(spark: SparkSession, base: str) -> DataFrame:
     """Errors of listed fits lowered by a likeness of 0 to 1 (here made from the ids)."""
     f = read_table(spark, base, "fits").where("err is not null and other_piece is not null and err <> 1000000")
-    f = f.select("piece_id", "side", "other_piece", "other_side", (F.col("err") / 1000.0).alias("err"), (F.pmod(F.col("piece_id") + F.col("other_piece"), F.lit(11)) / 10.0).alias("k"))
+    f = f.select("piece_id", "side", "other_piece", "other_side", (F.col("err").cast("double") / 1000).alias("err"), (F.pmod(F.col("piece_id") + F.col("other_piece"), F.lit(11)) / 10.0).alias("k"))
     f = match.color_adjusted(f, F.least(F.lit(1.0), F.col("k")))
-    return f.drop("k").withColumn("err", F.round("err", 4))
+    return f.drop("k").withColumn("err", F.round("err", 6))
 
 
 @REGISTRY.query(
@@ -196,10 +196,10 @@ def gap_clusters(spark: SparkSession, base: str) -> DataFrame:
 
 
 @REGISTRY.query(
-    """WITH m AS (SELECT p_brand, median(p_retailprice) AS med FROM part GROUP BY 1) SELECT p_partkey, p_brand, p_retailprice, round(med, 4) AS median, CASE WHEN p_retailprice / med > 1.8 THEN 'large' ELSE 'small' END AS kind FROM part JOIN m USING (p_brand) WHERE p_retailprice / med > 1.8 OR p_retailprice / med < 0.35"""
+    """WITH m AS (SELECT p_brand, median(p_size) AS med FROM part GROUP BY 1) SELECT p_partkey, p_brand, p_size, round(med, 4) AS median, CASE WHEN p_size / med > 1.8 THEN 'large' ELSE 'small' END AS kind FROM part JOIN m USING (p_brand) WHERE p_size / med > 1.8 OR p_size / med < 0.35"""
 )
 def size_outliers(spark: SparkSession, base: str) -> DataFrame:
-    return stats.size_outliers(read_table(spark, base, "part"), "p_retailprice", "p_brand", "p_partkey", 1.8, 0.35).withColumn("median", F.round("median", 4))
+    return stats.size_outliers(read_table(spark, base, "part"), "p_size", "p_brand", "p_partkey", 1.8, 0.35).withColumn("median", F.round("median", 4))
 
 
 def _rules(t: str = "text") -> list:
@@ -282,7 +282,7 @@ def solution_text(spark: SparkSession, base: str) -> DataFrame:
     return stats.grid_text(*_board(spark, base))
 
 
-@REGISTRY.query(_BOARD_SQL + "SELECT board_id, piece_id, x, y, round(x * 10 + x * 5.699827119, 4) AS dest_x, round(y * 10 + y * 9.121796862, 4) AS dest_y FROM pl")
+@REGISTRY.query(_BOARD_SQL + "SELECT board_id, piece_id, x, y, round(x * 10 + x * 5.699827119::DOUBLE, 4) AS dest_x, round(y * 10 + y * 9.121796862::DOUBLE, 4) AS dest_y FROM pl")
 def spacing(spark: SparkSession, base: str) -> DataFrame:
     placed, _ = _board(spark, base)
     p = placed.withColumn("dest_x", F.col("x") * 10.0).withColumn("dest_y", F.col("y") * 10.0)
