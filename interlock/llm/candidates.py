@@ -16,6 +16,7 @@ _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]{0,9}\s*/?>")
 _STREET = "street|st|road|rd|lane|ln|way|avenue|ave|close|drive|court|square|terrace|boulevard|blvd|crescent|rise|mews|grove|hill|park|walk|gardens|green|alley|view|circle|gate"
 _VOIE = "rue|chemin|impasse|quai|place|avenue|allée|boulevard|cours|route|sentier|passage"
 _WEG = "straße|strasse|str\\.|weg|gasse|allee|platz|ufer|damm|steig|pfad"
+_WEG_ENDS = tuple(_WEG.replace("\\", "").split("|"))
 _VIA = "c/|calle|avda\\.?|avenida|plaza|pza\\.?|paseo|camino|travesía|ronda"
 _FLAT = "flat|apt\\.?|apartment|unit|suite|room"
 _AT = "at|arroba|arobase"
@@ -63,6 +64,10 @@ _TOKEN = re.compile(rf"(?<![{_LETTER}0-9]){_NAME_WORD}(?![{_LETTER}0-9])|(?<![{_
 _GAP = re.compile(rf"{_S}{{1,6}}|,{_S}{{1,6}}|{_S}*\n{_S}*")
 
 
+#: Words whose likeness to names is remembered; the memory is emptied when full.
+_REMEMBERED = 100_000
+
+
 class Names:
     """Given names and family-name forms known from a table; others are judged by their ends."""
 
@@ -72,6 +77,16 @@ class Names:
         self.family = parts
         self.heads = {p[:4] for p in parts}
         self.tails = {p[-3:] for p in parts}
+        self._judged: dict[str, tuple[float, float]] = {}
+
+    def judged(self, word: str) -> tuple[float, float]:
+        """``as_given`` and ``as_family`` of a word, remembered for words that come again."""
+        found = self._judged.get(word)
+        if found is None:
+            if len(self._judged) >= _REMEMBERED:
+                self._judged.clear()
+            found = self._judged[word] = self.as_given(word), self.as_family(word)
+        return found
 
     def as_given(self, word: str) -> float:
         w = word.lower()
@@ -182,7 +197,10 @@ def _ids(t: str) -> list[Candidate]:
 
 def _addresses(t: str) -> list[Candidate]:
     out = []
+    low = t.lower()
     for shape, pattern in enumerate(_ADDRESS):
+        if shape == 2 and not any(w in low for w in _WEG_ENDS) or shape == 5 and t.isascii():
+            continue
         for m in pattern.finditer(t):
             s = m.group()
             words = [w for w in re.findall(rf"[{_LETTER}]+", s)]
@@ -199,9 +217,11 @@ def _addresses(t: str) -> list[Candidate]:
 
 def _names(t: str, names: Names) -> list[Candidate]:
     tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(t)]
-    known = [(0.0, 0.0) if w.endswith(".") else (names.as_given(w), names.as_family(w)) for _, _, w in tokens]
+    known = [(0.0, 0.0) if w[-1] == "." else names.judged(w) for _, _, w in tokens]
+    hit = [g > 0 or f > 0 for g, f in known]
+    starts = sorted({i - k for i, h in enumerate(hit) if h for k in range(3) if i >= k})
     out = []
-    for i in range(len(tokens) - 1):
+    for i in starts:
         for n in (2, 3):
             if i + n > len(tokens):
                 break
