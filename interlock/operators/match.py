@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +40,11 @@ def polyline_error(one: Column, two: Column, two_len: Column, y_max: float = CON
     return let(F.struct(dx.alias("x"), dy.alias("y")), both) / two_len
 
 
-def fit_errors(sides: DataFrame, error_max: float = CONF.fit_error_max, conf: Conf = CONF, among: DataFrame | None = None) -> DataFrame:
+def fit_errors(sides: DataFrame, error_max: float = CONF.fit_error_max, conf: Conf = CONF, among: DataFrame | None = None, flip: bool = True) -> DataFrame:
     """(piece_id, side, other_piece, other_side, err): directed pairs of sides of different pieces that fit within ``error_max``.
 
-    ``sides`` is normalised; edges take no part.  With ``among`` only its sides are asked for (a delta).  Chord lengths within the allowed ratio fall in
+    ``sides`` is normalised; edges take no part.  With ``among`` only its sides are asked for (a delta); without ``flip`` sides of the same shape are sought
+    in place of those that fit.  Chord lengths within the allowed ratio fall in
     neighbouring logarithmic buckets, so the theta join becomes an equi-join on buckets, exact after its
     check.  Before the full error is worked out, sums of y over runs of points bound it from below in plain arithmetic;
     the bound loses no pair.
@@ -50,20 +54,39 @@ def fit_errors(sides: DataFrame, error_max: float = CONF.fit_error_max, conf: Co
     run = lambda c, r: F.aggregate(F.slice(c, r * size + 1, size), F.lit(0.0), lambda acc, p: acc + p[1])
     inner = ~F.col("is_edge") & (F.col("chord_len") > 0) & (F.col("arc_len") > 0)
     bucket = F.floor(F.log("chord_len") / width)
-    asked = among if among is not None else sides
+    asked, other = among if among is not None else sides, "vf" if flip else "v"
     left = asked.where(inner).select(
-        F.col("piece_id"), F.col("side_index").alias("side"), F.col("chord_len").alias("len_a"), F.col("v"), *[run("v", r).alias(f"a{r}") for r in range(RUNS)], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")
+        F.col("piece_id"), F.col("side_index").alias("side"), F.col("chord_len").alias("len_a"), F.flatten("v").alias("v"), *[run("v", r).alias(f"a{r}") for r in range(RUNS)], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")
     )
     right = sides.where(inner).select(
-        F.col("piece_id").alias("other_piece"), F.col("side_index").alias("other_side"), F.col("chord_len").alias("len_b"), F.col("arc_len").alias("arc_b"), F.col("vf"), *[run("vf", r).alias(f"b{r}") for r in range(RUNS)], bucket.alias("bucket")
+        F.col("piece_id").alias("other_piece"), F.col("side_index").alias("other_side"), F.col("chord_len").alias("len_b"), F.col("arc_len").alias("arc_b"), F.flatten(other).alias("w"), *[run(other, r).alias(f"b{r}") for r in range(RUNS)], bucket.alias("bucket")
     )
     bound = sum((F.abs(F.col(f"a{r}") - F.col(f"b{r}")) for r in range(RUNS)), F.lit(0.0))
     slack = conf.y_shift_max * (conf.segments + 1)
     near = (left["bucket"] == right["bucket"]) & (F.col("piece_id") != F.col("other_piece")) & (F.abs(1 - F.col("len_a") / F.col("len_b")) <= conf.length_gap_max) & (bound <= error_max * F.col("arc_b") + slack)
     pairs = left.join(right, near)
-    err = polyline_error(F.col("v"), F.col("vf"), F.col("arc_b"), conf.y_shift_max)
-    found = pairs.select("piece_id", "side", "other_piece", "other_side", F.explode(F.array(err)).alias("err"))
-    return found.where(F.col("err") <= error_max)
+    rows = pairs.select("piece_id", "side", "other_piece", "other_side", "v", "w", "arc_b")
+    return rows.mapInArrow(_verified(error_max, conf.y_shift_max), "piece_id long, side int, other_piece long, other_side int, err double")
+
+
+def _verified(error_max: float, y_max: float):
+    """The error of whole batches of pairs in numpy; the same as ``polyline_error``, which is interpreted element by element."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            one, two = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1, 2) for c in "vw")
+            d = one - two
+            size = np.abs(d)
+            shift = (size - d).mean(axis=1)
+            shift[:, 1] = np.clip(shift[:, 1], -y_max, y_max)
+            err = np.minimum(size.sum(axis=(1, 2)), np.abs(d - shift[:, None]).sum(axis=(1, 2))) / batch.column("arc_b").to_numpy(zero_copy_only=False)
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("piece_id", "side", "other_piece", "other_side")), pa.array(err)], names=["piece_id", "side", "other_piece", "other_side", "err"])
+            yield out.filter(pa.array(err <= error_max))
+
+    return run
 
 
 def keep_best(fits: DataFrame, factor: float = CONF.keep_within_best) -> DataFrame:

@@ -21,18 +21,10 @@ CONF = Conf()
 def likeness(new: DataFrame, stored: DataFrame, error_max: float, conf: Conf = CONF) -> DataFrame:
     """(piece_id, known_id, err): for each new piece the stored piece with the most similar side of the same shape, strictly under ``error_max``.
 
-    Sides meet in logarithmic chord buckets; edges take no part; ties go to the smaller id.
+    Edges take no part; ties go to the smaller id.
     """
-    import math
-
-    width = -math.log(1 - conf.length_gap_max)
-    inner = ~F.col("is_edge") & (F.col("chord_len") > 0) & (F.col("arc_len") > 0)
-    bucket = F.floor(F.log("chord_len") / width)
-    a = new.where(inner).select("piece_id", F.col("chord_len").alias("la"), F.col("v").alias("va"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
-    b = stored.where(inner).select(F.col("piece_id").alias("known_id"), F.col("chord_len").alias("lb"), F.col("arc_len").alias("ab"), F.col("v").alias("vb"), bucket.alias("b"))
-    pairs = a.join(b, "b").where(F.abs(1 - F.col("la") / F.col("lb")) <= conf.length_gap_max)
-    rows = pairs.select("piece_id", "known_id", F.explode(F.array(match.polyline_error(F.col("va"), F.col("vb"), F.col("ab"), conf.y_shift_max))).alias("err")).where(F.col("err") < error_max)
-    return rows.groupBy("piece_id").agg(F.min(F.struct("err", "known_id")).alias("m")).select("piece_id", F.col("m.known_id").alias("known_id"), F.col("m.err").alias("err"))
+    rows = match.fit_errors(stored, error_max, conf, among=new, flip=False).where(F.col("err") < error_max)
+    return rows.groupBy("piece_id").agg(F.min(F.struct("err", F.col("other_piece").alias("known_id"))).alias("m")).select("piece_id", F.col("m.known_id").alias("known_id"), F.col("m.err").alias("err"))
 
 
 def identified(new: DataFrame, stored: DataFrame, error_max: float = CONF.known_error, conf: Conf = CONF) -> DataFrame:
