@@ -172,7 +172,7 @@ def test_grid_sizes(spark):
     c = spark.createDataFrame([(12, 10), (100, 36), (7, 3)], "n long, e long")
     assert {r["n"]: (r["width"], r["height"]) for r in stats.grid_by_count(spark, c.select("n"), "n").collect()}[12] == (4, 4)
     g = {r["n"]: (r["width"], r["height"]) for r in stats.grid_by_edges(spark, c, "n", "e").collect()}
-    assert g[12] == (4, 4) and g[100] == (10, 10) and g[7] == (4, 2)
+    assert g[12] == (4, 3) and g[100] == (10, 10) and g[7] == (4, 2)
 
 
 def test_settings(tmp_path):
