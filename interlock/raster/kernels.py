@@ -371,3 +371,72 @@ def exif_orientation(data: bytes) -> int | None:
                     return num(entry + 8, 2)
         at += 2 + size
     return None
+
+
+# -- whole photos
+
+
+def cropped_to_content(img: np.ndarray, margin: float = 0.02) -> np.ndarray:
+    """The box of what is darker than the background by Otsu's level, with a margin; all of it where nothing stands out."""
+    ys, xs = np.nonzero(img <= otsu(img)) if img.min() < img.max() else ((), ())
+    if not len(ys):
+        return img
+    a, b = int(img.shape[0] * margin), int(img.shape[1] * margin)
+    return img[max(0, ys.min() - a) : ys.max() + 1 + a, max(0, xs.min() - b) : xs.max() + 1 + b]
+
+
+def shrunk(img: np.ndarray, most: int = 2000) -> np.ndarray:
+    """No side longer than ``most``; smaller images stay as they are."""
+    k = most / max(img.shape)
+    return img if k >= 1 else np.rint(resized(img, max(1, round(img.shape[0] * k)), max(1, round(img.shape[1] * k)))).astype(img.dtype)
+
+
+def perspective_corrected(img: np.ndarray, corners: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The quadrilateral of four corners (clockwise from the top left) as a rectangle."""
+    goal = np.array([[0, 0], [width - 1, 0], [width - 1, height - 1], [0, height - 1]], float)
+    return warped(img, homography(corners, goal), height, width)
+
+
+def split_oversized(mask: np.ndarray, typical: float) -> list[np.ndarray]:
+    """A part far over the typical size eroded step by step until it falls into parts of usual size; else the part itself."""
+    for size in range(3, 14, 2):
+        labels, n = components(eroded(mask, size, True))
+        parts = [(labels == k + 1).astype(np.uint8) for k in range(n)]
+        if n >= 2 and all(max(np.ptp(v) + 1 for v in np.nonzero(p)) < 1.5 * typical for p in parts):
+            return [dilated(p, size, True) & mask for p in parts]
+    return [mask]
+
+
+def most_parts(mask: np.ndarray, least: int = 500, enough: int = 30) -> np.ndarray:
+    """Of erosions by growing kernels, the one with the most parts of at least ``least`` pixels; the search ends at ``enough``."""
+    best, most = mask, -1
+    for size in range(3, 24, 2):
+        m = eroded(mask, size, True)
+        labels, n = components(m)
+        k = int((np.bincount(labels.ravel(), minlength=n + 1)[1:] >= least).sum())
+        if k > most:
+            best, most = m, k
+        if most > enough:
+            break
+    return best
+
+
+def white_share(img: np.ndarray, level: int = 150) -> float:
+    return float((img > level).mean())
+
+
+def luminance_counts(img: np.ndarray) -> np.ndarray:
+    return np.bincount(img.ravel(), minlength=256)
+
+
+def mean_squared_difference(a: np.ndarray, b: np.ndarray) -> float:
+    """Sum of squared differences over the number of rows, the smaller image padded with zeros."""
+    h, w = max(a.shape[0], b.shape[0]), max(a.shape[1], b.shape[1])
+    x, y = (np.pad(v.astype(float), ((0, h - v.shape[0]), (0, w - v.shape[1]))) for v in (a, b))
+    return float(((x - y) ** 2).sum() / h)
+
+
+def contrast(img: np.ndarray, mask: np.ndarray, least: int = 100) -> float:
+    """Deviation of gray under a mask; 0 where it is too small."""
+    v = img[mask > 0]
+    return float(v.std()) if len(v) >= least else 0.0

@@ -91,3 +91,22 @@ def test_photo_to_sides_in_spark(spark, tmp_path):
     assert sorted(r["side_index"] for r in rows) == [0, 1, 2, 3]
     assert hashes(found).count() == 1
     assert {r["orientation"] for r in orientations(spark, str(tmp_path)).collect()} == {None}
+
+
+def test_whole_photos():
+    img = np.full((100, 80), 220, np.uint8)
+    img[30:50, 20:60] = 10
+    crop = k.cropped_to_content(img, 0)
+    assert crop.shape == (20, 40) and k.cropped_to_content(np.full((5, 5), 7, np.uint8)).shape == (5, 5)
+    assert k.shrunk(img, 50).shape == (50, 40) and k.shrunk(img).shape == img.shape
+    square = np.array([[20, 30], [59, 30], [59, 49], [20, 49]], float)
+    assert (k.perspective_corrected(img, square, 20, 40) == 10).all()
+    two = np.zeros((60, 120), np.uint8)
+    two[10:50, 5:50] = two[10:50, 70:115] = 1
+    two[28:31, 50:70] = 1
+    parts = k.split_oversized(two, 45)
+    assert len(parts) == 2 and all((p & two == p).all() for p in parts)
+    assert len(k.split_oversized(two[:, :50], 45)) == 1
+    assert k.components(k.most_parts(two, 100))[1] == 2
+    assert k.white_share(img) == 0.9 and k.luminance_counts(img)[10] == 800
+    assert k.mean_squared_difference(np.ones((2, 2)), np.ones((2, 3))) == 1 and k.contrast(img, img < 50) == 0
