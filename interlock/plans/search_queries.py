@@ -20,7 +20,7 @@ def board_solve(spark: SparkSession, base: str) -> DataFrame:
     from interlock.operators.stats import grid_by_count
 
     c = read_table(spark, base, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    grids = grid_by_count(spark, c.withColumn("n", F.least(F.col("n"), F.lit(64))), "n").select(F.col("c_nationkey").cast("long").alias("board_id"), "width", "height").where("width > 1 and height > 1")
+    grids = grid_by_count(spark, c, "n").select(F.col("c_nationkey").cast("long").alias("board_id"), "width", "height").where("width > 1 and height > 1")
 
     def make(pdf):
         import pandas as pd

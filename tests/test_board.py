@@ -1,6 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from interlock.operators.board import corners_and_edges, fill, fits_cell, generated_puzzle, solve_boards, solve_from, solve_partial, spiral
+from interlock.plans.search_queries import board_solve
 
 
 def graph(fits, ids):
@@ -72,3 +75,9 @@ def test_boards_in_spark(spark):
     assert {r["complete"] for r in got} == {True}
     for board in (1, 2):
         assert adjacency({(r["x"], r["y"]): (r["piece_id"], r["orientation"]) for r in got if r["board_id"] == board}) == want[board]
+
+
+def test_board_is_as_large_as_its_customers_ask_for(spark, tmp_path):
+    spark.range(150 + 20).select((F.col("id") >= 150).cast("int").alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    got = board_solve(spark, str(tmp_path)).groupBy("board_id").agg(F.count("*"), F.max("x") + 1, F.max("y") + 1, F.min("complete")).collect()
+    assert {tuple(r) for r in got} == {(0, 156, 13, 12, True), (1, 25, 5, 5, True)}
