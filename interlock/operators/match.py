@@ -40,11 +40,11 @@ def polyline_error(one: Column, two: Column, two_len: Column, y_max: float = CON
     return let(F.struct(dx.alias("x"), dy.alias("y")), both) / two_len
 
 
-def fit_errors(sides: DataFrame, error_max: float = CONF.fit_error_max, conf: Conf = CONF, among: DataFrame | None = None, flip: bool = True) -> DataFrame:
+def fit_errors(sides: DataFrame, error_max: float = CONF.fit_error_max, conf: Conf = CONF, among: DataFrame | None = None, flip: bool = True, turn: str | None = None) -> DataFrame:
     """(piece_id, side, other_piece, other_side, err): directed pairs of sides of different pieces that fit within ``error_max``.
 
     ``sides`` is normalised; edges take no part.  With ``among`` only its sides are asked for (a delta); without ``flip`` sides of the same shape are sought
-    in place of those that fit.  Chord lengths within the allowed ratio fall in
+    in place of those that fit; with ``turn``, a column of both, only sides whose turn came earlier are sought.  Chord lengths within the allowed ratio fall in
     neighbouring logarithmic buckets, so the theta join becomes an equi-join on buckets, exact after its
     check.  Before the full error is worked out, sums of y over runs of points bound it from below in plain arithmetic;
     the bound loses no pair.
@@ -54,16 +54,18 @@ def fit_errors(sides: DataFrame, error_max: float = CONF.fit_error_max, conf: Co
     run = lambda c, r: F.aggregate(F.slice(c, r * size + 1, size), F.lit(0.0), lambda acc, p: acc + p[1])
     inner = ~F.col("is_edge") & (F.col("chord_len") > 0) & (F.col("arc_len") > 0)
     bucket = F.floor(F.log("chord_len") / width)
-    asked, other = among if among is not None else sides, "vf" if flip else "v"
+    asked, other, order = among if among is not None else sides, "vf" if flip else "v", F.lit(None) if turn is None else F.col(turn)
     left = asked.where(inner).select(
-        F.col("piece_id"), F.col("side_index").alias("side"), F.col("chord_len").alias("len_a"), F.flatten("v").alias("v"), *[run("v", r).alias(f"a{r}") for r in range(RUNS)], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")
+        F.col("piece_id"), order.alias("turn_a"), F.col("side_index").alias("side"), F.col("chord_len").alias("len_a"), F.flatten("v").alias("v"), *[run("v", r).alias(f"a{r}") for r in range(RUNS)], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")
     )
     right = sides.where(inner).select(
-        F.col("piece_id").alias("other_piece"), F.col("side_index").alias("other_side"), F.col("chord_len").alias("len_b"), F.col("arc_len").alias("arc_b"), F.flatten(other).alias("w"), *[run(other, r).alias(f"b{r}") for r in range(RUNS)], bucket.alias("bucket")
+        F.col("piece_id").alias("other_piece"), order.alias("turn_b"), F.col("side_index").alias("other_side"), F.col("chord_len").alias("len_b"), F.col("arc_len").alias("arc_b"), F.flatten(other).alias("w"), *[run(other, r).alias(f"b{r}") for r in range(RUNS)], bucket.alias("bucket")
     )
     bound = sum((F.abs(F.col(f"a{r}") - F.col(f"b{r}")) for r in range(RUNS)), F.lit(0.0))
     slack = conf.y_shift_max * (conf.segments + 1)
     near = (left["bucket"] == right["bucket"]) & (F.col("piece_id") != F.col("other_piece")) & (F.abs(1 - F.col("len_a") / F.col("len_b")) <= conf.length_gap_max) & (bound <= error_max * F.col("arc_b") + slack)
+    if turn is not None:
+        near &= F.col("turn_a") > F.col("turn_b")
     pairs = left.join(right, near)
     rows = pairs.select("piece_id", "side", "other_piece", "other_side", "v", "w", "arc_b")
     return rows.mapInArrow(_verified(error_max, conf.y_shift_max), "piece_id long, side int, other_piece long, other_side int, err double")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from interlock.operators import board, sides
 from interlock.operators.layout import layout
 from interlock.plans.registry import Registry
-from interlock.session import read_table, scratch, staged
+from interlock.session import read_table, scratch, staged, timed_by_name
 from interlock.streaming.identify import Store, arrivals
 
 REGISTRY = Registry()
@@ -46,12 +46,13 @@ def board_layout(spark: SparkSession, base: str) -> DataFrame:
 
 @REGISTRY.query()
 def stream_identify(spark: SparkSession, base: str) -> DataFrame:
-    """Every usable piece, streamed in through files and identified against those before it."""
+    """Every usable piece, streamed in through files in order of batches and identified against those before it."""
     n = sides.normalised(sides.distinct_sides(read_table(spark, base, "sides"))).select("piece_id", "side_index", "is_edge", "arc_len", "chord_len", "v", "vf", "batch_id")
     src = scratch(spark, "arriving")
     n.repartitionByRange(4, "batch_id").write.parquet(src)
+    timed_by_name(spark, src)
     store = Store(spark, scratch(spark, "store"), error_max=0.15, fit_max=0.5)
-    stream = spark.readStream.schema(n.schema).option("maxFilesPerTrigger", 1).parquet(src).drop("batch_id")
+    stream = spark.readStream.schema(n.schema).option("maxFilesPerTrigger", 1).parquet(src)
     store.start(stream, scratch(spark, "stream-state")).awaitTermination()
     return store.table("results").select("piece_id", "status", "known_id", F.round("confidence", 4).alias("confidence"))
 

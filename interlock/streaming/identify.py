@@ -1,7 +1,7 @@
 """Identifying arriving pieces against a stored set, batch by batch.
 
 The store is three Parquet tables in a folder: ``sides`` (normalised), ``fits`` and ``results``.  A micro-batch is joined
-with the store once (new against all), known pieces get a result, new ones are appended with the fits between
+once with the store and itself (new against all before them), known pieces get a result, new ones are appended with the fits between
 them and all others.  A batch that is delivered again after a failure is recognised by its number and replaces its own output.
 """
 
@@ -13,24 +13,51 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from interlock.conf import Conf
 from interlock.operators import match
-from interlock.session import exists
+from interlock.session import exists, staged
 
 CONF = Conf()
 
 
 def likeness(new: DataFrame, stored: DataFrame, error_max: float, conf: Conf = CONF) -> DataFrame:
-    """(piece_id, known_id, err): for each new piece the stored piece with the most similar side of the same shape, strictly under ``error_max``.
+    """(piece_id, other_piece, err): for each new piece the stored pieces, and those new ones whose turn came earlier, with a side of the same shape strictly under ``error_max``.
 
-    Edges take no part; ties go to the smaller id.
+    New pieces take turns by batch_id (where there is one), then id.  Edges take no part.
     """
-    rows = match.fit_errors(stored, error_max, conf, among=new, flip=False).where(F.col("err") < error_max)
-    return rows.groupBy("piece_id").agg(F.min(F.struct("err", F.col("other_piece").alias("known_id"))).alias("m")).select("piece_id", F.col("m.known_id").alias("known_id"), F.col("m.err").alias("err"))
+    turn = lambda k: F.struct(F.lit(k), *[c for c in ("batch_id", "piece_id") if c in new.columns])
+    new, stored = new.withColumn("turn", turn(1)), stored.withColumn("turn", turn(0))
+    rows = match.fit_errors(stored.unionByName(new), error_max, conf, among=new, flip=False, turn="turn").where(F.col("err") < error_max)
+    return rows.groupBy("piece_id", "other_piece").agg(F.min("err").alias("err"))
+
+
+def repeating(alike: DataFrame) -> DataFrame:
+    """piece_id of new pieces that repeat an earlier new one which itself repeats none, as if they had come one by one.
+
+    ``alike`` (piece_id, other_piece) links new pieces to earlier new ones.  In each round, pieces without open links are new and settle all that link to them.
+    """
+    left, found = alike.select("piece_id", "other_piece"), alike.select("piece_id").limit(0)
+    while not (left := staged(left, "open")).isEmpty():
+        first = left.select("other_piece").distinct().join(left.select(F.col("piece_id").alias("other_piece")), "other_piece", "left_anti")
+        known = staged(left.join(first, "other_piece", "left_semi").select("piece_id").distinct(), "repeating")
+        found = found.unionByName(known)
+        left = left.join(known, "piece_id", "left_anti").join(known.withColumnRenamed("piece_id", "other_piece"), "other_piece", "left_anti")
+    return found
 
 
 def identified(new: DataFrame, stored: DataFrame, error_max: float = CONF.known_error, conf: Conf = CONF) -> DataFrame:
-    """(piece_id, status, known_id, confidence): 'known' with 1 - err / limit, else 'new_unsolved' with a half."""
-    ids = new.select("piece_id").distinct()
-    found = ids.join(likeness(new, stored, error_max, conf), "piece_id", "left")
+    """(piece_id, status, known_id, confidence): 'known' with 1 - err / limit, else 'new_unsolved' with a half.
+
+    New pieces are held against what is stored and against the unknown among the new ones before them, so the
+    result is that of one piece at a time.  The most similar one counts; ties go to the smaller id.
+    """
+    pairs = staged(likeness(new, stored, error_max, conf), "alike")
+    ids = stored.select(F.col("piece_id").alias("other_piece")).distinct()
+    by_store, among = pairs.join(ids, "other_piece", "left_semi"), pairs.join(ids, "other_piece", "left_anti")
+    settled = by_store.select("piece_id").distinct()
+    as_other = lambda df: df.withColumnRenamed("piece_id", "other_piece")
+    among = among.join(as_other(settled), "other_piece", "left_anti")
+    among = among.join(as_other(repeating(among.join(settled, "piece_id", "left_anti"))), "other_piece", "left_anti")
+    best = by_store.unionByName(among).groupBy("piece_id").agg(F.min(F.struct("err", F.col("other_piece").alias("known_id"))).alias("m"))
+    found = new.select("piece_id").distinct().join(best.select("piece_id", "m.known_id", "m.err"), "piece_id", "left")
     known = F.col("known_id").isNotNull()
     return found.select("piece_id", F.when(known, "known").otherwise("new_unsolved").alias("status"), "known_id", F.when(known, 1 - F.col("err") / error_max).otherwise(0.5).alias("confidence"))
 

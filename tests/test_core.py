@@ -16,7 +16,7 @@ from interlock.operators.pieces import current_values, usable_ids, usable_pieces
 from interlock.operators.sides import distinct_sides, normalised, piece_rows, signatures
 from interlock.pipeline import Marker, Pipeline, attempted, retry
 from interlock.sources import files
-from interlock.streaming.identify import Store, identified
+from interlock.streaming.identify import Store, identified, repeating
 from tests.shapes import SIDES, outline, piece
 
 
@@ -243,3 +243,24 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = {r["piece_id"]: (r["status"], r["known_id"]) for r in identified(n.where("piece_id <> 1"), n.where("piece_id = 1"), 0.2).collect()}
     assert batch == {k: got[k] for k in (2, 3)}
     assert store.next_id() == 4 and store.completeness(5) == (3, False) and store.remove(1).select("piece_id").distinct().count() == 1
+
+
+def test_batches_of_any_size_identify_alike(spark, tmp_path):
+    shapes = {5: 0, 1: 0, 4: 0, 2: 50, 7: 50, 3: 90}  # piece: first outline
+    rows = [r for p, k in shapes.items() for r in piece(p, [k + i for i in range(4)], jitter=p % 3)]
+    turn = {5: 1, 1: 2, 4: 2, 2: 3, 7: 3, 3: 4}  # batches against the order of ids
+    n = normalised(distinct_sides(spark.createDataFrame(rows, SIDES))).drop("vertices", "piece_center", "batch_id")
+    n = n.join(spark.createDataFrame(list(turn.items()), "piece_id long, batch_id long"), "piece_id").cache()
+    got = []
+    for cut in ([[5, 1, 4, 2, 7, 3]], [[5, 1], [4, 2, 7, 3]], [[p] for p in turn]):
+        store = Store(spark, f"file://{tmp_path}/{len(cut)}", error_max=0.2, fit_max=0.5)
+        for k, ids in enumerate(cut):
+            store.ingest(n.where(F.col("piece_id").isin(ids)), k)
+        got.append({r["piece_id"]: (r["status"], r["known_id"], round(r["confidence"], 9)) for r in store.table("results").collect()})
+        assert {r["piece_id"] for r in store.table("sides").collect()} == {5, 2, 3}
+    assert got[0] == got[1] == got[2] and {p: v[:2] for p, v in got[0].items()} == {5: ("new_unsolved", None), 1: ("known", 5), 4: ("known", 5), 2: ("new_unsolved", None), 7: ("known", 2), 3: ("new_unsolved", None)}
+
+
+def test_who_repeats_a_repeat_only_is_new(spark):
+    links = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 3), (5, 4)], "piece_id long, other_piece long")
+    assert sorted(r[0] for r in repeating(links).collect()) == [2, 4, 5]
