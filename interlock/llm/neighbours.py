@@ -2,14 +2,15 @@
 
 Side vectors are centred, projected on their main axes and turned by a learned
 rotation that spreads the variance evenly.  Every turned axis is cut at quantiles
-into Gray-coded bits, so that a small move changes few of them.  The code is split into
-``SUBS`` substrings, each with an index of its own.  Two codes within a Hamming
-radius of ``SUBS`` - 1 agree in at least one substring (pigeonhole), so probing every
-substring's bucket retrieves them all; codes further apart than ``RADIUS`` are passed over,
+into Gray-coded bits, so that a small move changes few of them.  Substrings of the code,
+each the coarser bits of some of the axes, have an index of their own each.  Codes that agree in at
+least one substring are retrieved; those further apart than ``RADIUS`` are passed over,
 the rest reranked by the exact distance.
 
-Substrings get longer with the logarithm of the collection, which keeps buckets small.  Equal
-outlines are one class, indexed once.  Buckets too large for a join are compared in
+Substrings get longer with the logarithm of the collection, which keeps buckets small, by more axes and not by
+finer bits, which change too easily; and the longer they are, the more there are of them (``SUBS`` up to
+``SHORT`` bits, one more for each bit over it), so that recall hardly falls as the collection grows.  Axes are
+dealt out at random, all of them before any again.  Equal outlines are one class, indexed once.  Buckets too large for a join are compared in
 blocks, each of which passes on only the nearest of every member.
 """
 
@@ -28,8 +29,10 @@ from interlock.functions.outline import DIMS, pack, side_distance, side_vectors
 from interlock.operators.pieces import packed_sides, usable_ids, valid_side
 from interlock.session import staged
 
-SUBS, AXES, RADIUS = 6, 30, 20
+SUBS, SHORT, AXES, RADIUS = 6, 16, 30, 20
 WORDS = 3
+#: Bits an axis in a code at most (small collections have fewer), and how many of them, the coarsest, in a substring.
+PLANES, COARSE = 4, 3
 #: Bound of the sample the axes, the rotation and the cuts are learned from.
 SAMPLE = 20_000
 #: Buckets of more classes than this are compared in blocks of ``BLOCK``.
@@ -39,7 +42,7 @@ _ROUNDS = 30
 
 @dataclass
 class Coder:
-    """A learned code: vector -> ``SUBS`` substrings of ``bits`` bits in ``WORDS`` 64-bit words."""
+    """A learned code: vector -> ``planes`` bits an axis in ``WORDS`` 64-bit words, and substrings of ``bits`` of them."""
 
     mean: np.ndarray
     turn: np.ndarray
@@ -50,25 +53,36 @@ class Coder:
     def planes(self) -> int:
         return len(self.cuts).bit_length()
 
+    @property
+    def parts(self) -> list[list[int]]:
+        """The places in the code of each substring's bits."""
+        rng, pool, out, coarse = np.random.default_rng(5), [], [], min(COARSE, self.planes)
+        for _ in range(SUBS + max(0, self.bits - SHORT)):
+            n = math.ceil(self.bits / coarse)
+            if len(pool) < n:
+                pool += [int(a) for a in rng.permutation(AXES) if a not in pool]
+            out.append([p * AXES + a for p in range(coarse) for a in pool[:n]][: self.bits])
+            pool = pool[n:]
+        return out
+
     def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Substring values (n, SUBS) and code words (n, WORDS)."""
+        """Substring values (n, substrings) and code words (n, WORDS)."""
         y = (vectors - self.mean) @ self.turn
         level = np.zeros(y.shape, np.int64)
         for cut in self.cuts:
             level += y > cut
         gray = level ^ (level >> 1)
         flat = np.concatenate([(gray >> (self.planes - 1 - p)) & 1 for p in range(self.planes)], axis=1)
-        subs = np.zeros((len(y), SUBS), np.int64)
+        subs = np.stack([flat[:, part] @ (1 << np.arange(len(part))[::-1]) for part in self.parts], axis=1)
         words = np.zeros((len(y), WORDS), np.int64)
-        for j in range(SUBS * self.bits):
-            subs[:, j % SUBS] = (subs[:, j % SUBS] << 1) | flat[:, j]
+        for j in range(flat.shape[1]):
             words[:, j // 64] |= flat[:, j] << (j % 64)
         return subs, words
 
 
 def learn(vectors: np.ndarray, rows: int) -> Coder:
     """Axes, rotation and cuts for a collection of about ``rows`` from sampled vectors."""
-    bits = min(WORDS * 64 // SUBS, max(10, math.ceil(math.log2(max(rows, 2)))))
+    bits = min(32, max(10, math.ceil(math.log2(max(rows, 2)))))
     mean = vectors.mean(axis=0) if len(vectors) else np.zeros(DIMS)
     centred = vectors - mean
     _, axes = np.linalg.eigh(centred.T @ centred / max(1, len(vectors)))
@@ -78,7 +92,7 @@ def learn(vectors: np.ndarray, rows: int) -> Coder:
     for _ in range(_ROUNDS):
         left, _, right = np.linalg.svd(main.T @ np.where(main @ turn >= 0, 1.0, -1.0))
         turn = left @ right
-    levels = 1 << math.ceil(SUBS * bits / AXES)
+    levels = 1 << min(PLANES, math.ceil(SUBS * bits / AXES))
     cuts = np.quantile(main @ turn, np.arange(1, levels) / levels, axis=0) if len(vectors) else np.zeros((levels - 1, AXES))
     return Coder(mean, axes @ turn, cuts, bits)
 
@@ -111,9 +125,9 @@ def _coded(packed: DataFrame, coder: Coder) -> DataFrame:
 def _substrings(coder: Coder) -> Column:
     """Array of (substring number, value) hashed to one key, from the code words."""
     keys = []
-    for s in range(SUBS):
+    for s, part in enumerate(coder.parts):
         value = F.lit(0).cast("long")
-        for j in range(s, SUBS * coder.bits, SUBS):
+        for j in part:
             bit = F.shiftrightunsigned(F.col(f"w{j // 64}"), j % 64).bitwiseAND(F.lit(1))
             value = F.shiftleft(value, 1).bitwiseOR(bit)
         keys.append(F.xxhash64(F.lit(s), value))

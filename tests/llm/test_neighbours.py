@@ -49,3 +49,13 @@ def test_hot_buckets_in_blocks_lose_nothing(spark, monkeypatch):
 def test_empty(spark):
     assert nearest_sides(spark.createDataFrame([], SIDES)).count() == 0
     assert learn(np.zeros((0, 54)), 0).encode(np.zeros((1, 54)))[1].shape == (1, 3)
+
+
+def test_a_longer_code_finds_as_much():
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(20_000, 54)) * 0.25 * 0.9 ** np.arange(54)
+    step = rng.normal(size=v.shape)
+    near = v + 0.03 * step / np.linalg.norm(step, axis=1, keepdims=True)
+    for bits in (16, 19, 22, 26):
+        coder = learn(v, 1 << bits)
+        assert coder.bits == bits and (coder.encode(v)[0] == coder.encode(near)[0]).any(axis=1).mean() >= 0.99
