@@ -73,14 +73,20 @@ def first_reason(rules: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def grid_by_count(spark: SparkSession, counts: DataFrame, n: str, limit: int = 200) -> DataFrame:
-    """Adds width and height that come nearest to ``n`` pieces: least |w - h| + 0.1 * (w h - n) with w h >= n and w >= h."""
-    sizes = spark.range(1, limit + 1).select(F.col("id").cast("int").alias("w"))
-    grid = sizes.crossJoin(sizes.select(F.col("w").alias("h"))).where("w >= h")
-    score = F.col("w") - F.col("h") + 0.1 * (F.col("w") * F.col("h") - F.col(n))
-    best = counts.join(F.broadcast(grid), (F.col("w") * F.col("h") >= F.col(n)) & (F.col("w") * F.col("h") <= 4 * F.col(n) + 4))
-    key = [c for c in counts.columns]
-    return best.groupBy(*key).agg(F.min(F.struct(F.round(score, 6).alias("s"), "w", "h")).alias("m")).select(*key, F.col("m.w").alias("width"), F.col("m.h").alias("height"))
+def grid_by_count(spark: SparkSession, counts: DataFrame, n: str) -> DataFrame:
+    """Adds width and height that come nearest to ``n`` pieces: least |w - h| + 0.1 * (w h - n) with w h >= n and w >= h.
+
+    Heights up to the square root and two more are tried, each with the least width that will do; beyond that the score only grows.
+    """
+    total = F.greatest(F.col(n), F.lit(0)).cast("long")
+    heights = F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt(total)).cast("long") + 2)
+
+    def size(h: Column) -> Column:
+        w = F.greatest(h, F.ceil(total / h).cast("long"))
+        return F.struct(F.round(w - h + 0.1 * (w * h - F.col(n)), 6).alias("s"), w.cast("int").alias("w"), h.cast("int").alias("h"))
+
+    best = counts.withColumn("m", F.array_min(F.transform(heights, size)))
+    return best.select(*counts.columns, F.col("m.w").alias("width"), F.col("m.h").alias("height"))
 
 
 def grid_by_edges(spark: SparkSession, counts: DataFrame, total: str, edges: str, limit: int = 200) -> DataFrame:

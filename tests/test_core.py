@@ -264,3 +264,12 @@ def test_batches_of_any_size_identify_alike(spark, tmp_path):
 def test_who_repeats_a_repeat_only_is_new(spark):
     links = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 3), (5, 4)], "piece_id long, other_piece long")
     assert sorted(r[0] for r in repeating(links).collect()) == [2, 4, 5]
+
+
+def test_grid_sizes_of_any_number(spark):
+    def plain(n):
+        return min((round(w - h + 0.1 * (w * h - n), 6), w, h) for h in range(1, math.isqrt(n) + 3) for w in [max(h, -(-n // h))])[1:]
+
+    counts = [1, 2, 12, 553, 642, 39_999, 40_000, 40_001, 50_000, 1_000_003]
+    got = {r["n"]: (r["width"], r["height"]) for r in stats.grid_by_count(spark, spark.createDataFrame([(n,) for n in counts], "n long"), "n").collect()}
+    assert got == {n: plain(n) for n in counts} and got[50_000] == (224, 224)
