@@ -108,7 +108,11 @@ def most_central(views: DataFrame) -> DataFrame:
 
 
 def fused_groups(views: DataFrame) -> DataFrame:
-    """One surviving record a group: every field the highest-supported among its views, each view a source."""
+    """One surviving record a group: every field the highest-supported among its views, each view a source.
+
+    Width and height only: a centroid is a place in its own photo, so views of different photos claim different
+    ones by nature, and none says anything of the others.  ``fused_views`` gives each view's own.
+    """
     fields = F.array(F.struct(F.lit("centroid").alias("field"), F.col("centroid").alias("value")), *[F.struct(F.lit(f).alias("field"), F.array(f).alias("value")) for f in ("width", "height")])
     claims = views.select(F.col("group_id").alias("object"), F.col("piece_id").alias("source"), F.explode(fields).alias("c")).select("object", "source", "c.field", "c.value").where(F.col("value").isNotNull() & F.get("value", 0).isNotNull())
     truth = truth_discovery(claims)
