@@ -13,8 +13,11 @@ from interlock.raster import kernels, outlines
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(photo_id, height, width, n_channels, data): decoded images of a folder; undecodable ones drop out."""
-    i = spark.read.format("image").option("dropInvalid", True).load(path)
+    """(photo_id, height, width, n_channels, data): decoded images of a folder; undecodable ones have -1 for sizes and no data.
+
+    Files of no bytes have no row: Spark's file sources pass over them.
+    """
+    i = spark.read.format("image").option("dropInvalid", False).load(path)
     return i.select(F.element_at(F.split("image.origin", "/"), -1).alias("photo_id"), "image.height", "image.width", F.col("image.nChannels").alias("n_channels"), "image.data")
 
 
@@ -31,6 +34,8 @@ def orientations(spark: SparkSession, path: str) -> DataFrame:
 
 def pixels(row) -> np.ndarray:
     """An image row as a 2-D array of gray."""
+    if row.height <= 0 or row.width <= 0:
+        raise ValueError("undecodable image")
     a = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, -1)
     return a[..., 0] if a.shape[2] == 1 else kernels.gray(a[..., :3])
 

@@ -110,3 +110,11 @@ def test_whole_photos():
     assert k.components(k.most_parts(two, 100))[1] == 2
     assert k.white_share(img) == 0.9 and k.luminance_counts(img)[10] == 800
     assert k.mean_squared_difference(np.ones((2, 2)), np.ones((2, 3))) == 1 and k.contrast(img, img < 50) == 0
+
+
+def test_undecodable_photos_get_a_reason(spark, tmp_path):
+    (tmp_path / "a.bmp").write_bytes(k.write_bmp(tabbed()))
+    (tmp_path / "broken.bmp").write_bytes(b"BM no image")
+    (tmp_path / "cut.jpg").write_bytes(b"\xff\xd8\xff")
+    found = pieces_of(read_images(spark, str(tmp_path)), light_is_piece=True).collect()
+    assert {(r["photo_id"], r["reason"]) for r in found} == {("a.bmp", None), ("broken.bmp", "undecodable image"), ("cut.jpg", "undecodable image")}
