@@ -61,6 +61,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def data_files(spark: SparkSession, path: str) -> list[int]:
+    """Sizes in bytes of a folder's data files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getLen() for f in fs.listStatus(at) if f.getPath().getName()[0] not in "_."]
+
+
 def timed_by_name(spark: SparkSession, path: str) -> None:
     """Sets the times of a folder's data files a second apart in order of their names, as a file stream reads the oldest first."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -113,6 +113,39 @@ def test_compaction(spark, tmp_path):
     assert compact(records.limit(0), f"file://{tmp_path}/empty").count() == 0
 
 
+def test_records_in_any_layout(spark):
+    one = '{"piece_id":%d,"side_index":0,"vertices":[[1,2],[3,4]],"is_edge":false'
+    pretty = lambda p: json.dumps({**json.loads(one % p + "}"), "note": "a { brace", "more": {"k": [1, {"z": 2}]}}, indent=1)
+    texts = {
+        "inner line": one % 1 + ',\n"robot_state":\n{"a":1}\n}',
+        "inner list": one % 2 + ',"extra":[\n{"k":1}\n],"z":1}',
+        "two pretty": pretty(3) + "\n" + pretty(4),
+        "pretty, line": pretty(5) + "\n" + one % 6 + "}",
+        "line, cut off, pretty": one % 7 + "}\n" + one % 8 + ',\n"more": {\n' + pretty(9),
+        "cut off pretty": pretty(10)[:-20],
+        "trailing": one % 11 + "} x",
+        "windows": one % 12 + "}\r\n" + one % 13 + "}\r\n",
+        "long": "\n".join([one % 14] * 3000 + [one % 15 + "}"]),
+        "inner braces only": "{\n{\n}\n}",
+    }
+    df = spark.createDataFrame([(k, v, None) for k, v in texts.items()], "file_path string, payload string, modified_at timestamp_ntz")
+    got = {(r["file_path"], r["piece_id"]) for r in side_records(df).collect()}
+    assert got == {
+        ("inner line", 1), ("inner list", 2), ("two pretty", 3), ("two pretty", 4), ("pretty, line", 5), ("pretty, line", 6), ("line, cut off, pretty", 7), ("line, cut off, pretty", 9), ("windows", 12), ("windows", 13), ("long", 15),
+    }
+    assert side_records(df).count() == len(got)
+
+
+def test_compacted_files_have_the_wanted_size(spark, tmp_path):
+    df = spark.range(0, 400_000, 1, 16).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h"), F.lit("the same in every row").alias("c"))
+    for target in (1 << 20, 4 << 20):
+        out = compact(df, f"file://{tmp_path}/{target}", target)
+        sizes = [f.stat().st_size for f in (tmp_path / str(target)).glob("*.parquet")]
+        assert len(sizes) > 2 and all(0.5 * target <= s <= 1.5 * target for s in sorted(sizes)[1:]) and checksum(out) == checksum(df)
+    compact(df, f"file://{tmp_path}/one", 1 << 30)
+    assert len(list((tmp_path / "one").glob("*.parquet"))) == 1
+
+
 def numpy_error(a, b, length):
     a, b = np.array(a, float), np.array(b, float)
     d = np.abs(a - b)
