@@ -147,8 +147,8 @@ def signature_groups(spark: SparkSession, base: str) -> DataFrame:
 _NORMAL_SQL = SIDES_SQL + _POINTS_SQL.format(k=26) + """,
  ends AS (SELECT piece_id, side_index, max(x) FILTER (k = 0) AS ox, max(y) FILTER (k = 0) AS oy, max(x) FILTER (k = 26) AS ex, max(y) FILTER (k = 26) AS ey FROM rs GROUP BY 1, 2),
  rt AS (SELECT rs.piece_id, rs.side_index, k, total, is_edge, x - ox AS dx, y - oy AS dy, atan2(ey - oy, ex - ox) AS a FROM rs JOIN ends USING (piece_id, side_index)),
- nv AS (SELECT piece_id, side_index, k, total, is_edge, round_even(dx * cos(-a) - dy * sin(-a), 0)::DOUBLE AS vx, round_even(dx * sin(-a) + dy * cos(-a), 0)::DOUBLE AS vy,
-               round_even(dx * cos(pi() - a) - dy * sin(pi() - a), 0)::DOUBLE AS fx, round_even(dx * sin(pi() - a) + dy * cos(pi() - a), 0)::DOUBLE AS fy FROM rt),
+ nv AS (SELECT piece_id, side_index, k, total, is_edge, round_even(dx * cos(-a) - dy * sin(-a), 0)::INTEGER AS vx, round_even(dx * sin(-a) + dy * cos(-a), 0)::INTEGER AS vy,
+               round_even(dx * cos(pi() - a) - dy * sin(pi() - a), 0)::INTEGER AS fx, round_even(dx * sin(pi() - a) + dy * cos(pi() - a), 0)::INTEGER AS fy FROM rt),
  nr AS (SELECT piece_id, side_index, any_value(total) AS arc_len, any_value(is_edge) AS is_edge, list(vx ORDER BY k) AS vx, list(vy ORDER BY k) AS vy, list(fx ORDER BY k DESC) AS fx0, list(fy ORDER BY k DESC) AS fy FROM nv GROUP BY 1, 2),
  ns AS (SELECT * EXCLUDE (fx0), list_transform(fx0, lambda q: q - list_min(fx0)) AS fx, sqrt(pow(vx[27] - vx[1], 2) + pow(vy[27] - vy[1], 2)) AS chord_len FROM nr)
 """
@@ -157,7 +157,7 @@ _NORMAL_SQL = SIDES_SQL + _POINTS_SQL.format(k=26) + """,
 @REGISTRY.query(_NORMAL_SQL + "SELECT piece_id, side_index, round(arc_len, 4) AS arc_len, round(chord_len, 4) AS chord_len, vx, vy, fx, fy FROM ns")
 def side_normal_form(spark: SparkSession, base: str) -> DataFrame:
     n = sides.normalised(_sides(spark, base))
-    out = [F.transform(c, geom.field(k)).cast("array<double>").alias(a) for c, k, a in (("v", 0, "vx"), ("v", 1, "vy"), ("vf", 0, "fx"), ("vf", 1, "fy"))]
+    out = [F.transform(c, geom.field(k)).cast("array<int>").alias(a) for c, k, a in (("v", 0, "vx"), ("v", 1, "vy"), ("vf", 0, "fx"), ("vf", 1, "fy"))]
     return _round(n.select("piece_id", "side_index", "arc_len", "chord_len", *out), "arc_len", "chord_len")
 
 
