@@ -100,6 +100,11 @@ def point(column: str) -> Column:
     return (F.size(c) >= 2) & F.get(c, 0).isNotNull() & F.get(c, 1).isNotNull() & ~F.isnan(F.get(c, 0).cast("double")) & ~F.isnan(F.get(c, 1).cast("double"))
 
 
+def photo_positions(photos: DataFrame) -> DataFrame:
+    """(batch_id, file_name, position): the current position of every named photo that has one."""
+    return photos.where(F.col("file_name") != "").groupBy("batch_id", "file_name").agg(latest("position", "received_at").alias("position")).where(point("position"))
+
+
 def bed_places(sides: DataFrame, photos: DataFrame, scale: float = 10.0) -> DataFrame:
     """(piece_id, batch_id, x, y): where each piece lies on the bed.
 
@@ -116,7 +121,7 @@ def bed_places(sides: DataFrame, photos: DataFrame, scale: float = 10.0) -> Data
         )
         .where(point("centroid") & F.col("file_name").isNotNull())
     )
-    listed = photos.where(F.col("file_name") != "").groupBy("batch_id", "file_name").agg(latest("position", "received_at").alias("position")).where(point("position"))
+    listed = photo_positions(photos)
     return pieces.join(listed, ["batch_id", "file_name"]).select(
         "piece_id",
         "batch_id",

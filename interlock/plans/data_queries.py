@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from interlock.operators.compact import compacted_records, newest_file
-from interlock.operators.nearby import near_pairs
-from interlock.operators.pieces import bed_places
+from interlock.operators.nearby import containing_regions, near_pairs
+from interlock.operators.pieces import bed_places, photo_positions
 from interlock.plans.registry import Registry
 from interlock.session import read_table
 
 REGISTRY = Registry()
 #: Pieces of one batch closer than this on the bed are listed.
 NEAR = 220.0
+#: Half axes of the lozenge round a camera position that counts as its own region.
+REACH_X, REACH_Y = 3000.3, 2000.7
 
 PLACES_SQL = """
 WITH p AS (SELECT piece_id, min(batch_id) AS b, max(original_photo_name) FILTER (original_photo_name <> '') AS f,
@@ -55,3 +57,21 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of pieces of one batch that lie closer than 220 on the bed."""
     places = bed_places(read_table(spark, base, "sides"), read_table(spark, base, "batch_photos"))
     return near_pairs(places, NEAR, by=["batch_id"]).select(F.col("a").alias("piece_a"), F.col("b").alias("piece_b"))
+
+
+@REGISTRY.query(
+    PLACES_SQL
+    + f"""
+SELECT place.piece_id, q.b AS batch_id, q.f AS file_name FROM place JOIN q ON place.batch_id = q.b
+WHERE abs(place.x - q.m.v[1]) / {REACH_X} + abs(place.y - q.m.v[2]) / {REACH_Y} <= 1
+"""
+)
+def p7_regions(spark: SparkSession, base: str) -> DataFrame:
+    """Each piece with the photos of its batch in whose lozenge it lies on the bed."""
+    photos = read_table(spark, base, "batch_photos")
+    places = bed_places(read_table(spark, base, "sides"), photos)
+    listed = photo_positions(photos).withColumn("region_id", F.xxhash64("batch_id", "file_name"))
+    x, y = F.col("position")[0], F.col("position")[1]
+    ring = F.array(F.array(x - REACH_X, y), F.array(x, y - REACH_Y), F.array(x + REACH_X, y), F.array(x, y + REACH_Y))
+    found = containing_regions(places, listed.withColumn("ring", ring), by=["batch_id"])
+    return found.join(listed.select("region_id", "batch_id", "file_name"), "region_id").select("piece_id", "batch_id", "file_name")

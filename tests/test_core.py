@@ -11,7 +11,8 @@ from interlock.functions import geom
 from interlock.functions.outline import pack, side_vectors, unpack
 from interlock.operators import dedup, match, stats
 from interlock.operators.compact import checksum, compact, newest_file, side_records
-from interlock.operators.nearby import near_pairs
+from interlock.operators import nearby
+from interlock.operators.nearby import containing_regions, near_pairs
 from interlock.operators.pieces import current_values, usable_ids, usable_pieces
 from interlock.operators.sides import distinct_sides, normalised, piece_rows, signatures
 from interlock.pipeline import Marker, Pipeline, attempted, retry
@@ -95,6 +96,32 @@ def test_near_pairs_equal_brute_force(spark):
     assert near_pairs(df.limit(0), 10.0, by=["batch"]).count() == 0 and near_pairs(df, 0.0, by=["batch"]).count() == 0
 
 
+def test_hot_tiles_are_split(spark, monkeypatch):
+    monkeypatch.setattr(nearby, "HOT", 20)
+    r = np.random.default_rng(4)
+    pts = [(i, 1, float(x), float(y)) for i, (x, y) in enumerate(r.uniform(0, 900, (150, 2)))] + [(500 + i, 1, 5.0, 5.0) for i in range(45)]
+    want = {(a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and math.hypot(a[2] - b[2], a[3] - b[3]) < 60}
+    got = [tuple(x) for x in near_pairs(spark.createDataFrame(pts, "piece_id long, batch long, x double, y double"), 60.0, by=["batch"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_regions_equal_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    pts = [(i, int(i % 2), float(x), float(y)) for i, (x, y) in enumerate(r.uniform(-500, 500, (400, 2)))]
+    pts += [(1000 + i, 0, 10.0, 10.0) for i in range(30)] + [(None, 0, 1.0, 1.0), (2000, 0, None, 1.0), (2001, None, 0.0, 0.0), (2002, 0, 400.0, 0.0)]
+    rings = [(k, int(k % 2), (c + r.uniform(20, 200) * np.array([[np.cos(a), np.sin(a)] for a in np.sort(r.uniform(0, 6.28, 7))])).tolist()) for k, c in enumerate(r.uniform(-500, 500, (40, 2)))]
+    rings += [(100, 0, [[-600.0, -600.0], [600.0, -600.0], [600.0, 600.0], [-600.0, 600.0]]), (101, 0, [[0.0, 0.0], [1.0, 1.0]]), (102, 0, None), (None, 0, [[0.0, 0.0], [9.0, 0.0], [9.0, 9.0]]), (103, 0, [[400.0, -5.0], [410.0, -5.0], [410.0, 5.0], [400.0, 5.0]])]
+    want = {(p[0], k) for p in pts for k, g, ring in rings if None not in p and k is not None and ring and len(ring) > 2 and p[1] == g and nearby.within(np.array([p[2:]]), np.array(ring))[0]}
+    points = spark.createDataFrame(pts, "piece_id long, batch long, x double, y double").selectExpr("*", "1 as strip", "2 as spot")
+    regions = spark.createDataFrame(rings, "region_id long, batch long, ring array<array<double>>")
+    assert (2002, 103) in want and (1000, 100) in want
+    for hot in (50_000, 25):
+        monkeypatch.setattr(nearby, "HOT", hot)
+        got = [tuple(x) for x in containing_regions(points, regions, by=["batch"]).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert containing_regions(points.limit(0), regions, by=["batch"]).count() == 0 and containing_regions(points, regions.limit(0), by=["batch"]).count() == 0
+
+
 def test_compaction(spark, tmp_path):
     rec = lambda p, s, **kw: json.dumps({"piece_id": p, "side_index": s, "vertices": [[1, 2], [3, 4]], "is_edge": False, **kw})
     t = lambda d: dt.datetime(2026, 1, d)
