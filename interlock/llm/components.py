@@ -45,8 +45,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         first = ends.groupBy("x").agg(F.min_by("y", _order("y", k)).alias("y"))
         hook = staged(first.select("x", F.when(_order("x", k) < _order("y", k), F.col("x")).otherwise(F.col("y")).alias("to")), f"hooks{k}")
         hooks.append(hook)
-        left = hook.select(F.col("x").alias("u"), F.col("to").alias("p"))
-        right = hook.select(F.col("x").alias("v"), F.col("to").alias("q"))
+        # the files are far smaller than the rows in memory: the planner would broadcast what is no longer small
+        left = hook.select(F.col("x").alias("u"), F.col("to").alias("p")).hint("merge")
+        right = hook.select(F.col("x").alias("v"), F.col("to").alias("q")).hint("merge")
         edges = staged(
             edges.join(left, "u").join(right, "v").where(F.col("p") != F.col("q")).select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct(),
             f"edges{k}",
@@ -55,15 +56,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
     labels = hooks[-1].select(F.col("x").alias("id"), F.col("to").alias("root"))
     for hook in reversed(hooks[:-1]):
-        later = labels.select(F.col("id").alias("to"), "root")
+        later = labels.select(F.col("id").alias("to"), "root").hint("merge")
         labels = hook.join(later, "to", "left").select(F.col("x").alias("id"), F.coalesce("root", "to").alias("root"))
-    return labels
+    return staged(labels, "labels")
 
 
 def smallest_member(labels: DataFrame) -> DataFrame:
     """(id, group_id) with the smallest id of each group for its name."""
     names = labels.groupBy("root").agg(F.min("id").alias("group_id"))
-    return labels.join(names, "root").select("id", "group_id")
+    return labels.join(names.hint("merge"), "root").select("id", "group_id")
 
 
 def latest_decisions(pairs: DataFrame) -> DataFrame:
