@@ -4,6 +4,11 @@ Each group is hashed into subgroups by its items; a repeated item always meets
 itself in one subgroup.  Every subgroup ranks its own and keeps N, and only those
 survivors are ranked across the group.  The planner cuts to N before the shuffles too, so a
 group of a third of all rows arrives in ``salts`` parts, each already cut.
+
+Repeats of an item are put together map-side before the first shuffle, so an item that fills a third of all rows sends
+one row a task.  That costs a shuffle of its own (by item), which partitioning by subgroup at once would
+save, but then all rows of such an item would meet in one task.  ``salts`` bounds a subgroup's share of its group; 32
+leaves about 1 % of all rows to a task for a group of a third of them.
 """
 
 from __future__ import annotations
