@@ -10,7 +10,7 @@ from interlock.llm.history import repeats
 from interlock.llm.mixing import mix
 from interlock.llm.neighbours import nearest_sides
 from interlock.llm.personal import personal_spans, redact
-from interlock.llm.survivor import fused_groups, fused_views, most_central
+from interlock.llm.survivor import fused_groups, fused_views, most_central, view_sources
 from interlock.llm.tokens import encode
 from interlock.llm.topn import top_n_per_group
 from interlock.operators.pieces import usable_ids, usable_pieces
@@ -84,9 +84,10 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 @REGISTRY.query()
 def p5_fused(spark: SparkSession, base: str) -> DataFrame:
-    """Photo width and height of each group, by truth discovery among its views."""
+    """Centroid, photo width and height of each group, by truth discovery among its views."""
     groups = staged(_groups(spark, base), "groups")
-    return fused_groups(fused_views(read_table(spark, base, "sides"), groups))
+    sides = read_table(spark, base, "sides")
+    return fused_groups(fused_views(sides, groups), view_sources(sides.join(groups.select("piece_id"), "piece_id", "left_semi")))
 
 
 @REGISTRY.query()
