@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from interlock.llm.components import view_groups
 from interlock.llm.history import repeats
-from interlock.llm.mixing import mix
+from interlock.llm.mixing import mix, shares
 from interlock.llm.neighbours import nearest_sides
 from interlock.llm.personal import personal_spans, redact
 from interlock.llm.survivor import fused_groups, fused_views, most_central, view_sources
@@ -111,7 +111,7 @@ def p9_mix(spark: SparkSession, base: str) -> DataFrame:
 @REGISTRY.query()
 def p9_shares(spark: SparkSession, base: str) -> DataFrame:
     """The share of all drawn tokens that each target source reached."""
-    return mix(read_table(spark, base, "documents"), read_table(spark, base, "mix_targets"))[1]
+    return shares(read_table(spark, base, "documents"), read_table(spark, base, "mix_targets"))
 
 
 @REGISTRY.query()
