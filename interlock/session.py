@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SCOPE = threading.local()
 
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -68,6 +72,35 @@ def data_files(spark: SparkSession, path: str) -> list[int]:
     return [f.getLen() for f in fs.listStatus(at) if f.getPath().getName()[0] not in "_."]
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text, through the file system it lives on."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all; an existing one is an error."""
+    part = f"{path}.{uuid.uuid4().hex[:8]}.part"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if exists(spark, path) or not move(spark, part, path):
+        remove(spark, part)
+        raise FileExistsError(path)
+
+
 def timed_by_name(spark: SparkSession, path: str) -> None:
     """Sets the times of a folder's data files a second apart in order of their names, as a file stream reads the oldest first."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -77,9 +110,24 @@ def timed_by_name(spark: SparkSession, path: str) -> None:
         fs.setTimes(file, found[0][1] + 1000 * k, -1)
 
 
+@contextmanager
+def scratch_ends(spark: SparkSession) -> Iterator[None]:
+    """Tables staged by this thread inside are deleted at its end; what it returns must have been written elsewhere."""
+    before, _SCOPE.paths = getattr(_SCOPE, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _SCOPE.paths:
+            remove(spark, path)
+        _SCOPE.paths = before
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
+    """A fresh path in the shared folder, deleted when the driver ends, or its scope."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if getattr(_SCOPE, "paths", None) is not None:
+        _SCOPE.paths.append(path)
+        return path
 
     def clean() -> None:
         try:
