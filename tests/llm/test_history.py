@@ -1,6 +1,7 @@
 import numpy as np
 
 from interlock.functions.outline import pack, side_vectors
+from interlock.llm import history
 from interlock.llm.history import History, close_signatures, keyed, repeats
 from interlock.operators.pieces import usable_pieces
 from tests.shapes import SIDES, outline, piece
@@ -54,7 +55,39 @@ def test_history_keeps_only_accepted_and_survives_empty_deliveries(spark):
     assert h.ingest(pieces.where("batch_id = 1")).count() == 0
     assert h.ingest(pieces.limit(0)).count() == 0
     assert [tuple(r) for r in h.ingest(pieces.where("batch_id = 2")).collect()] == [(2, 1)]
-    assert {r[0] for r in spark.read.parquet(f"{h.path}/pieces").select("piece_id").collect()} == {1, 3}
+    assert {r[0] for r in h.accepted().select("piece_id").collect()} == {1, 3}
+
+
+def test_a_named_delivery_counts_once_and_a_broken_one_leaves_nothing(spark, monkeypatch):
+    pieces = usable_pieces(spark.createDataFrame(piece(1, [1, 2, 3, 4], 1) + piece(2, [1, 2, 3, 4], 2) + piece(3, [5, 6, 7, 8], 2), SIDES)).cache()
+    h = History(spark)
+    h.ingest(pieces.where("batch_id = 1"), "one")
+    with monkeypatch.context() as m:
+        m.setattr(h, "_commit", lambda *_: 1 / 0)
+        try:
+            h.ingest(pieces.where("batch_id = 2"), "two")
+        except ZeroDivisionError:
+            pass
+    assert {r[0] for r in h.accepted().select("piece_id").collect()} == {1}
+    for _ in range(2):
+        assert [tuple(r) for r in h.ingest(pieces.where("batch_id = 2"), "two").collect()] == [(2, 1)]
+        assert sorted(r[0] for r in h.accepted().select("piece_id").collect()) == [1, 3]
+
+
+def test_deliveries_read_their_own_partitions_only(spark, monkeypatch):
+    monkeypatch.setattr(history, "ROWS_PER_PART", 16)
+    monkeypatch.setattr(history, "FANOUT", 3)
+    rows = [r for b in range(3) for p in range(50) for r in piece(1000 * b + p, [7 * (50 * b + p) + k for k in range(4)], batch=b)]
+    rows += piece(9000, [9000, 9001, 9002, 9003], batch=3) + piece(9999, [7 * 5 + k for k in range(4)], batch=4, turn=2, jitter=1)  # repeats piece 5 of the first
+    pieces = usable_pieces(spark.createDataFrame(rows, SIDES)).cache()
+    h, read, there, cases = History(spark), [], [], []
+    for b in range(5):
+        there.append(sum(r["bands"] for r in h._state()[1]["runs"]))
+        cases += [tuple(r) for r in h.ingest(pieces.where(F.col("batch_id") == b), f"d{b}").collect()]
+        read.append(len(h.files_read))
+    assert cases == [(9999, 5)] and [r["level"] for r in h._state()[1]["runs"]] == [1, 0] and h.accepted().count() == 151
+    # one piece has BANDS keys: that many partitions of a run at most, and those of the candidates, of the hundreds there are
+    assert there[3] >= 128 and read[3] <= 16 + 2 and read[4] <= 2 * 16 + 4
 
 
 def test_closed_outline_is_never_the_same(spark):
