@@ -154,8 +154,8 @@ class History:
 
     def __init__(self, spark: SparkSession, path: str | None = None, distance: float = 0.06) -> None:
         self.spark, self.path, self.distance = spark, path or scratch(spark, "history"), distance
-        #: Files of the history the last delivery read, keys and outlines.
-        self.files_read: list[str] = []
+        #: Partitions of the history the last delivery read, keys and outlines.
+        self.partitions_read = 0
 
     # -- the list of runs
 
@@ -199,7 +199,7 @@ class History:
             parts = sorted({p % run[table] for p in hit})  # counts are powers of two
             schema = f"{_PIECE if table == 'pieces' else _BAND}, part int"
             df = self.spark.read.schema(schema).parquet(f"{self.path}/runs/{run['name']}/{table}").where(F.col("part").isin(parts))
-            self.files_read += df.inputFiles()
+            self.partitions_read += len(parts)
             out = df.drop("part") if out is None else out.unionByName(df.drop("part"))
         return out.join(wanted, key, "left_semi")
 
@@ -219,7 +219,7 @@ class History:
         number, state = self._state()
         out = f"{self.path}/cases/{name}"
         if name not in state["done"]:
-            self.files_read = []
+            self.partitions_read = 0
             with scratch_ends(self.spark):
                 new = staged(keyed(pieces.where(F.col("piece_id").isNotNull() & F.col("batch_id").isNotNull())), "keyed")
                 bands = new.select("piece_id", "batch_id", "sig", F.explode("keys").alias("key"))

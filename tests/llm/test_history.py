@@ -84,7 +84,7 @@ def test_deliveries_read_their_own_partitions_only(spark, monkeypatch):
     for b in range(5):
         there.append(sum(r["bands"] for r in h._state()[1]["runs"]))
         cases += [tuple(r) for r in h.ingest(pieces.where(F.col("batch_id") == b), f"d{b}").collect()]
-        read.append(len(h.files_read))
+        read.append(h.partitions_read)
     assert cases == [(9999, 5)] and [r["level"] for r in h._state()[1]["runs"]] == [1, 0] and h.accepted().count() == 151
     # one piece has BANDS keys: that many partitions of a run at most, and those of the candidates, of the hundreds there are
     assert there[3] >= 128 and read[3] <= 16 + 2 and read[4] <= 2 * 16 + 4
