@@ -16,7 +16,7 @@ class Boosted:
     """Trees of a fixed depth on logistic loss; ``scale`` and ``shift`` calibrate the score (Platt)."""
 
     rounds: int = 60
-    depth: int = 3
+    depth: int = 4
     rate: float = 0.2
     penalty: float = 1.0
     edges: list[np.ndarray] = field(default_factory=list)

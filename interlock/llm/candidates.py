@@ -1,4 +1,10 @@
-"""High-recall span candidates of personal details, and the numbers that describe them."""
+"""High-recall span candidates of personal details, and the numbers that describe them.
+
+Names are proposed by shape: two to four words beside each other that begin with a capital in any alphabet, with particles and initials
+between, whether any list knows them or not; words in other case if a list knows one of them; and short runs of Han after a label.
+What they are is left to the trees, by how common the words are (a public vocabulary of word pieces), what is known of
+them, and what stands around them.
+"""
 
 from __future__ import annotations
 
@@ -35,7 +41,13 @@ _CONTEXT = {
 _CONTEXT = {k: re.compile(v, re.I) for k, v in _CONTEXT.items()}
 #: Full-width forms of ASCII characters.
 _PLAIN = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F) if chr(c - 0xFEE0) not in ",:;!?()"} | {0xFF08: 0x28, 0xFF09: 0x29}
-_STOP = frozenset("the on of and in at to side for a an with is was der die das und le la les et el los y".split())
+#: Fixed word list: small words of five languages.
+_STOP = frozenset(
+    "the on of and in at to side for a an with is was are be or but if as by from this that these those my your our his her its their it we you he she they not no so then when once since after before all both each every some "
+    "der die das und ein eine einen dem den des im am zum zur bei von mit auf für nach vor als wie wir ich sie er es nicht kein keine alle "
+    "le la les et un une des du au aux dans sur pour par avec que qui ce cette ces nous vous ils elle il ne pas tous "
+    "el los las y una unos del al en con por para que no se su sus este esta estos nos todos".split()
+)
 
 _EMAIL = re.compile(
     rf"(?<![{_LETTER}0-9._%+\-])(?P<local>[{_LETTER}0-9][{_LETTER}0-9._%+'\-]{{0,63}})"
@@ -59,8 +71,20 @@ _ADDRESS = [
 ]
 #: What may follow an address and belongs to it: floor, flat, postal code and town.
 _TAIL = re.compile(rf"(?:,?{_S}*(?:#\d{{1,4}}|(?:{_FLAT}|floor){_S}+#?\w{{1,5}}|bajo|\d{{1,2}}º(?:{_S}*[A-Z](?![{_LETTER}]))?))*(?:,{_S}*\d{{4,5}}{_S}+[{_LETTER}]{{3,}})?", re.I)
-_NAME_WORD = rf"[{_LETTER}]{{2,}}(?:['’][{_LETTER}]{{2,}})?(?:[\-\u2011][{_LETTER}]{{2,}})*"
-_TOKEN = re.compile(rf"(?<![{_LETTER}0-9]){_NAME_WORD}(?![{_LETTER}0-9])|(?<![{_LETTER}0-9.'’\-])[{_LETTER}]\.")
+#: A letter of any alphabet with words, not of a script written without spaces.
+_ANY = "[^\\W\\d_\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"
+#: Runs of letters with hyphens and apostrophes inside, and what is no word because a digit is in it.
+_TOKEN = re.compile(rf"\d[^\W_]*|{_ANY}+(?:['’\-\u2011]{_ANY}+)*(?:\d[^\W_]*|\.)?")
+_ASCII_TOKEN = re.compile(_TOKEN.pattern.replace(_ANY, "[A-Za-z]"), re.ASCII)
+#: Fixed word list: small words between the words of a name.
+_PARTICLES = frozenset("de del della di da dos das do du la le van von der den ter ten bin ibn binti al el af av zu y".split())
+#: Fixed word list: titles before a name, no part of it.
+_TITLES = frozenset("mr mrs ms miss dr prof herr frau mme mlle sr sra srta señor señora madame monsieur don doña".split())
+#: Fixed word list: the commonest Chinese family names.
+_HAN_FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+_HAN_LABEL = "联系人|负责人|姓名|经手人|收件人|寄件人|签收人|操作员|作者|申请人|审核|联络人|署名"
+_HAN_NAME = re.compile(rf"(?:(?P<label>{_HAN_LABEL})[是为]?\s*[::]?\s*|(?P<by>由|请找|找|感谢|谢谢|我是|致电|联系|问)\s*)(?P<name>[{_HAN_FAMILY}][一-鿿]{{1,2}})")
+_HAN_NEXT = re.compile(r"\s*(?:负责|签收|确认|操作|拍摄|提供|说|表示|写|发|先生|女士|老师|[^一-鿿]|$)")
 _GAP = re.compile(rf"{_S}{{1,6}}|,{_S}{{1,6}}|{_S}*\n{_S}*")
 
 
@@ -71,7 +95,9 @@ _REMEMBERED = 100_000
 class Names:
     """Given names and family-name forms known from a table; others are judged by their ends."""
 
-    def __init__(self, given: set[str], family: set[str]) -> None:
+    def __init__(self, given: set[str], family: set[str], common: frozenset[str] = frozenset()) -> None:
+        #: Words that are one piece of a public vocabulary, as they are written there.
+        self.common = common
         self.given = {g.lower() for g in given}
         parts = {p for f in family for p in re.split(r"[\s\-]+", f.lower()) if len(p) > 3}
         self.family = parts
@@ -145,10 +171,14 @@ _NUMBER_CONTEXT = ("phone", "id", "goods", "place")
 def find(text: str, names: Names) -> list[Candidate]:
     """All candidates of all kinds, overlapping ones too."""
     t = masked(text)
-    return [*_emails(t), *_phones(t), *_ids(t), *_addresses(t), *_names(t, names)]
+    return [*_emails(t, names), *_phones(t), *_ids(t), *_addresses(t), *_names(t, names)]
+
 
+def _plain(word: str, names: Names) -> float:
+    return float(word.lower() in names.common or word.lower() in _STOP)
 
-def _emails(t: str) -> list[Candidate]:
+
+def _emails(t: str, names: Names) -> list[Candidate]:
     out = []
     for m in _EMAIL.finditer(t) if "@" in t or re.search(_AT, t, re.I) else ():
         at, domain, local = m["at"], m["domain"], m["local"]
@@ -158,7 +188,7 @@ def _emails(t: str) -> list[Candidate]:
         f = [
             float("@" in at), float(sign[:1] in "[({"), float(at[:1].isspace()), float(at[-1:].isspace()), float(at[:1].isspace() != at[-1:].isspace()),
             len(labels), float(last in _TLD), float(last.isdigit()), float(last.isalpha()), len(last), len(local), float(any(c.isdigit() for c in local)), float(any(c in "._+-" for c in local)),
-            float(local.isdigit()), float(domain[:1].isdigit()),
+            float(local.isdigit()), float(domain[:1].isdigit()), _plain(local, names), _plain(labels[0].strip(), names), float(any(x.strip().lower() in _STOP for x in labels)), float(last in names.common),
         ]
         out.append(Candidate("email", m.start(), m.end(), f + _around(t, m.start(), m.end(), ("phone", "goods", "person"))))
     return out
@@ -215,40 +245,125 @@ def _addresses(t: str) -> list[Candidate]:
     return out
 
 
+def _words(t: str) -> list[tuple[int, int, str]]:
+    """(start, end, word) of words of two or more letters, and of initials with their stop."""
+    out = []
+    for m in (_ASCII_TOKEN if t.isascii() else _TOKEN).finditer(t):
+        w = m.group()
+        if w[-1] == ".":
+            if len(w) == 2:
+                if not (a := m.start()) or t[a - 1] not in ".'’-":
+                    out.append((*m.span(), w))
+                continue
+            out.append((m.start(), m.end() - 1, w[:-1]))
+        elif len(w) > 1 and not w[-1].isdigit() and not w[0].isdigit():
+            out.append((*m.span(), w))
+    return out
+
+
+def _capital(word: str) -> bool:
+    return word[0].isupper()
+
+
+def _name_spans(t: str, tokens: list[tuple[int, int, str]], hit: list[bool]) -> list[tuple[int, int]]:
+    """(first token, number of tokens) of possible names."""
+    capital = [w[0].isupper() for _, _, w in tokens]
+    # only beside a word that may begin or end a name is the gap looked at
+    may = [c or h for c, h in zip(capital, hit)]
+    joined = [
+        (may[k] or may[k + 1]) and (b == a + 1 and t[a] == " " or bool(_GAP.fullmatch(t, a, b))) for k, ((_, a, _), (b, _, _)) in enumerate(zip(tokens, tokens[1:]))
+    ]
+    initial = [w[-1] == "." for _, _, w in tokens]
+    foreign = [ord(w[0]) > 0x24F for _, _, w in tokens]
+    title = [len(w) < 9 and w.lower() in _TITLES for _, _, w in tokens]
+    shouted = lambda k: 0 <= k < len(tokens) and len(tokens[k][2]) > 1 and tokens[k][2].isupper()
+    out = []
+    for i in range(len(tokens)):
+        if title[i] or not (may[i] or i + 1 < len(hit) and hit[i + 1]):
+            continue
+        for n in (2, 3, 4, 5):
+            j = i + n - 1
+            if j >= len(tokens) or not joined[j - 1] or foreign[i] != foreign[j] or title[j]:
+                break
+            if initial[i] and initial[j] or capital[i] != capital[j] and not (hit[i] and hit[j]):
+                continue
+            if not (hit[i] or hit[j]) and (tokens[i][2].lower() in _STOP or tokens[j][2].lower() in _STOP or shouted(i - 1) and shouted(i) or shouted(j) and shouted(j + 1)):
+                continue  # a small word, or a part of a line in capitals
+            if n == 2:
+                ok = hit[i] or hit[j] or capital[i] and capital[j]
+            else:
+                ok = capital[i] and capital[j] and all(capital[k] or tokens[k][2].lower() in _PARTICLES for k in range(i + 1, j)) or n == 3 and initial[i + 1] and (hit[i] or hit[j])
+            if ok:
+                out.append((i, n))
+    return out
+
+
 def _names(t: str, names: Names) -> list[Candidate]:
-    tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(t)]
+    tokens = _words(t)
     known = [(0.0, 0.0) if w[-1] == "." else names.judged(w) for _, _, w in tokens]
     hit = [g > 0 or f > 0 for g, f in known]
-    starts = sorted({i - k for i, h in enumerate(hit) if h for k in range(3) if i >= k})
+    out = [] if t.isascii() else _han_names(t)
+    for i, n in _name_spans(t, tokens, hit):
+        span = tokens[i : i + n]
+        first, last = span[0][2], span[-1][2]
+        initial = first.endswith("."), last.endswith(".")
+        (g1, f1), (g2, f2) = known[i], known[i + n - 1]
+        a, b = span[0][0], span[-1][1]
+        gaps = [t[span[k][1] : span[k + 1][0]] for k in range(n - 1)]
+        before, after = t[max(0, a - 1) : a], t[b : b + 1]
+        next_word = re.match(rf"{_S}*([{_LETTER}]+)", t[b : b + 20])
+        prior = re.search(rf"([{_LETTER}]+|\d+[a-z]?){_S}*$", t[max(0, a - 20) : a])
+        plain = [0.0 if any(known[k]) else _plain(tokens[k][2], names) for k in range(i, i + n) if tokens[k][2][-1] != "."]
+        out.append(
+            Candidate(
+                "name", a, b,
+                [
+                    n, g1, f1, g2, f2, float(initial[0]), float(initial[1]), float(any("," in g for g in gaps)), float(any("\n" in g for g in gaps)),
+                    float(first[:1].isupper()), float(last[:1].isupper()), float(first.isupper() and last.isupper()), float(first.islower() and last.islower()),
+                    float(before in tuple("@._+-") and before != ""), float(after in tuple("@_+") and after != "" or bool(re.match(r"[.\-][A-Za-z0-9]", t[b : b + 2]))), float(bool(re.match(rf"{_S}?(?:@|[\[(](?:{_AT})|(?:{_AT}){_S}\w+{_S}?(?:{_DOT}|[\[(.]))", t[b : b + 30], re.I))),
+                    float(bool(next_word and re.fullmatch(f"{_STREET}|optics|fair|box|tray", next_word[1], re.I))), float(bool(prior and prior[1][0].isdigit())), len(first), len(last),
+                    max(known[i - 1][0], known[i - 1][1]) if i and tokens[i - 1][1] >= a - 2 else 0.0, max(known[i + n]) if i + n < len(tokens) and tokens[i + n][0] <= b + 2 else 0.0,
+                    float(bool(_CONTEXT["said"].search(t[b : b + 18].replace("\x00", " ")))), float(bool(_CONTEXT["title"].search(t[max(0, a - 12) : a]))),
+                    *_shape(t, tokens, i, n, names), sum(plain) / max(1, len(plain)), plain[0] if plain else 0.0, plain[-1] if plain else 0.0, 0.0, 0.0,
+                ]
+                + _around(t, a, b, ("person", "made", "place")),
+            )
+        )
+    return out
+
+
+_ENDED = re.compile(r"(?:^|[\n.!?。!?:…][\s\x00\"'»)*]*|\n[\s>#*\-]*)$")
+
+
+def _stemmed(word: str, names: Names) -> float:
+    """1 if a word less one to three letters at its end is common, in either case."""
+    low = word.lower()
+    return float(any(len(low) - k >= 4 and (low[:-k] in names.common or low[:-k].capitalize() in names.common) for k in (1, 2, 3)))
+
+
+def _shape(t: str, tokens: list[tuple[int, int, str]], i: int, n: int, names: Names) -> list[float]:
+    """What the words' look and their neighbours say: stop words, capitals beside it, sentence start, other alphabets."""
+    words = [w for _, _, w in tokens[i : i + n]]
+    a, b = tokens[i][0], tokens[i + n - 1][1]
+    left = i and tokens[i - 1][1] >= a - 2 and "\n" not in t[tokens[i - 1][1] : a] and _capital(tokens[i - 1][2])
+    right = i + n < len(tokens) and tokens[i + n][0] <= b + 2 and "\n" not in t[b : tokens[i + n][0]] and _capital(tokens[i + n][2])
+    title = sum(w[:1] + w[1:].lower() in names.common for w in words)
+    inner = max((names.judged(w)[0] for w in words[1:-1] if w[-1] != "."), default=0.0)
+    return [
+        float(words[0].lower() in _STOP), float(words[-1].lower() in _STOP), float(left), float(right), float(bool(_ENDED.search(t, max(0, a - 8), a)) or a == 0), float(ord(words[0][0]) > 0x24F), title / n, float(any(w.lower() in _PARTICLES for w in words[1:-1])),
+        float(sum(_capital(w) for w in words) == n), min(len(w) for w in words), inner, *(0.0 if any(names.judged(w)) else _stemmed(w, names) for w in (words[0], words[-1])),
+    ]
+
+
+def _han_names(t: str) -> list[Candidate]:
+    """Short runs of Han that begin with a family name, after a label or a word that a person follows."""
     out = []
-    for i in starts:
-        for n in (2, 3):
-            if i + n > len(tokens):
-                break
-            span = tokens[i : i + n]
-            if n == 3 and not (span[1][2].endswith(".") and len(span[1][2]) == 2):
-                break
-            first, last = span[0][2], span[-1][2]
-            initial = first.endswith("."), last.endswith(".")
-            (g1, f1), (g2, f2) = known[i], known[i + n - 1]
-            if all(initial) or not (g1 or f1 or g2 or f2):
-                continue
-            gaps = [t[span[k][1] : span[k + 1][0]] for k in range(n - 1)]
-            if not all(_GAP.fullmatch(g) for g in gaps):
+    for m in _HAN_NAME.finditer(t):
+        for b in range(m.start("name") + 2, m.end("name") + 1):
+            a = m.start("name")
+            if not _HAN_NEXT.match(t, b):
                 continue
-            a, b = span[0][0], span[-1][1]
-            comma = any("," in g for g in gaps)
-            before, after = t[max(0, a - 1) : a], t[b : b + 1]
-            next_word = re.match(rf"{_S}*([{_LETTER}]+)", t[b : b + 20])
-            prior = re.search(rf"([{_LETTER}]+|\d+[a-z]?){_S}*$", t[max(0, a - 20) : a])
-            f = [
-                n, g1, f1, g2, f2, float(initial[0]), float(initial[1]), float(comma), float(any("\n" in g for g in gaps)),
-                float(first[:1].isupper()), float(last[:1].isupper()), float(first.isupper() and last.isupper()), float(first.islower() and last.islower()),
-                float(before in tuple("@._+-") and before != ""), float(after in tuple("@_+") and after != "" or bool(re.match(r"[.\-][A-Za-z0-9]", t[b : b + 2]))), float(bool(re.match(rf"{_S}?(?:@|[\[(](?:{_AT})|(?:{_AT}){_S}\w+{_S}?(?:{_DOT}|[\[(.]))", t[b : b + 30], re.I))),
-                float(bool(next_word and re.fullmatch(f"{_STREET}|optics|fair|box|tray", next_word[1], re.I))), float(bool(prior and prior[1][0].isdigit())), len(first), len(last),
-                max(known[i - 1][0], known[i - 1][1]) if i and tokens[i - 1][1] >= a - 2 else 0.0, max(known[i + n]) if i + n < len(tokens) and tokens[i + n][0] <= b + 2 else 0.0,
-            ]
-            right = t[b : b + 18].replace("\x00", " ")
-            f += [float(bool(_CONTEXT["said"].search(right))), float(bool(_CONTEXT["title"].search(t[max(0, a - 12) : a])))]
+            f = [0.0] * (24 + 13 + 3) + [1.0 + float(m["label"] is not None), 1.0]
+            f[0], f[18], f[19] = 1.0, b - a, b - a
             out.append(Candidate("name", a, b, f + _around(t, a, b, ("person", "made", "place"))))
     return out

@@ -7,6 +7,7 @@ of overlapping selections the most probable stays.
 
 from __future__ import annotations
 
+import base64
 import pickle
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,10 +27,26 @@ MARK = {k: f"[{k.upper()}]" for k in KINDS}
 _HELD_OUT = 4
 
 
+#: Vocabulary of word pieces that says how common a word is.
+COMMON = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
 @lru_cache(maxsize=2)
-def models(number: int = SENTENCES, seed: int = 11) -> dict[str, Boosted]:
-    """One calibrated model a kind, from ``number`` labelled sentences; every fourth is held out for calibration."""
-    texts, names = sentences(seed, number)
+def common_words(vocabulary: str = COMMON) -> frozenset[str]:
+    """Words that are one piece of a public vocabulary (with a blank before them); none if there is no such file."""
+    try:
+        with open(vocabulary, "rb") as f:
+            pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
+    except OSError:
+        return frozenset()
+    words = (p[1:].decode("utf-8", "ignore") for p in pieces if p[:1] == b" ")
+    return frozenset(w for w in words if len(w) > 2 and w.isalpha())
+
+
+@lru_cache(maxsize=4)
+def models(number: int = SENTENCES, seed: int = 11, vocabulary: str = COMMON, kept_out: bool = False) -> dict[str, Boosted]:
+    """One calibrated model a kind, from ``number`` labelled sentences; every fourth is held out for calibration.  With ``kept_out`` some patterns are never seen."""
+    texts, names = sentences(seed, number, common_words(vocabulary), False if kept_out else None)
     rows: dict[str, list[tuple[list[float], float, bool]]] = {k: [] for k in KINDS}
     for i, (text, truth) in enumerate(texts):
         for c in find(text, names):
@@ -53,8 +70,8 @@ def detect(texts: list[str | None], names: Names, fitted: dict[str, Boosted]) ->
                 chance[i][j] = float(v) if v >= fitted[kind].threshold else 0.0
     out = []
     for cands, p in zip(found, chance):
-        # an e-mail address takes all inside it; else the likelier, then the longer
-        order = sorted((k for k in range(len(cands)) if p[k] > 0), key=lambda k: (cands[k].kind != "email", -round(p[k], 2), cands[k].start - cands[k].end, cands[k].start))
+        # an e-mail address takes all inside it, a name yields to the other kinds; else the likelier, then the longer
+        order = sorted((k for k in range(len(cands)) if p[k] > 0), key=lambda k: (cands[k].kind != "email", cands[k].kind == "name", -round(p[k], 2), cands[k].start - cands[k].end, cands[k].start))
         kept: list[tuple[str, int, int]] = []
         for k in order:
             c = cands[k]
@@ -73,12 +90,12 @@ def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def known_names(people: DataFrame, given: str = "given_name", family: str = "family_name") -> Names:
-    """Known given and family names; null and empty ones are left out."""
+def known_names(people: DataFrame, given: str = "given_name", family: str = "family_name", vocabulary: str = COMMON) -> Names:
+    """Known given and family names, null and empty ones left out, and common words."""
     rows = people.select(given, family).distinct().limit(MOST_NAMES + 1).collect()
     if len(rows) > MOST_NAMES:
         raise ValueError(f"more than {MOST_NAMES} names")
-    return Names({r[0] for r in rows if r[0]}, {r[1] for r in rows if r[1]})
+    return Names({r[0] for r in rows if r[0]}, {r[1] for r in rows if r[1]}, common_words(vocabulary))
 
 
 def personal_spans(documents: DataFrame, people: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
