@@ -10,8 +10,11 @@ the rest reranked by the exact distance.
 Substrings get longer with the logarithm of the collection, which keeps buckets small, by more axes and not by
 finer bits, which change too easily; and the longer they are, the more there are of them (``SUBS`` up to
 ``SHORT`` bits, one more for each bit over it), so that recall hardly falls as the collection grows.  Axes are
-dealt out at random, all of them before any again.  Equal outlines are one class, indexed once.  Buckets too large for a join are compared in
-blocks, each of which passes on only the nearest of every member.
+dealt out at random, all of them before any again.  Equal outlines are one class, indexed once.
+
+Buckets too large for a join are cut into cells along ``FINER`` of the turned axes.  These are at right angles, so sides within
+the distance are within it along each, and lie in one cell if those near its upper end also go to the next: nothing is lost, and outlines are not copied.
+Only cells that are still too large are compared in blocks, each of which passes on only the nearest of every member.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from interlock.functions.outline import DIMS, pack, side_distance, side_vectors
+from interlock.llm.history import _mix
 from interlock.operators.pieces import packed_sides, usable_ids, valid_side
 from interlock.session import staged
 
@@ -37,6 +41,8 @@ PLANES, COARSE = 4, 3
 SAMPLE = 20_000
 #: Buckets of more classes than this are compared in blocks of ``BLOCK``.
 HOT, BLOCK = 1_000, 512
+#: Axes along which hot buckets are cut, and the width of a cell in distances.
+FINER, WIDE = 3, 2
 _ROUNDS = 30
 
 
@@ -122,16 +128,28 @@ def _coded(packed: DataFrame, coder: Coder) -> DataFrame:
     return packed.mapInArrow(run, "piece_id long, side_index int, outline binary, w0 long, w1 long, w2 long")
 
 
-def _substrings(coder: Coder) -> Column:
-    """Array of (substring number, value) hashed to one key, from the code words."""
-    keys = []
-    for s, part in enumerate(coder.parts):
-        value = F.lit(0).cast("long")
-        for j in part:
-            bit = F.shiftrightunsigned(F.col(f"w{j // 64}"), j % 64).bitwiseAND(F.lit(1))
-            value = F.shiftleft(value, 1).bitwiseOR(bit)
-        keys.append(F.xxhash64(F.lit(s), value))
-    return F.array(*keys)
+def _index(classes: DataFrame, coder: Coder) -> DataFrame:
+    """(sid, code words, key): one row for each substring of each class, its number and value hashed to one key."""
+    words = [f"w{w}" for w in range(WORDS)]
+    parts = coder.parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            code = [batch.column(w).to_numpy().view(np.uint64) for w in words]
+            keys = np.empty((n, len(parts)), np.uint64)
+            for s, part in enumerate(parts):
+                value = np.full(n, s, np.uint64)
+                for j in part:
+                    value = value << np.uint64(1) | (code[j // 64] >> np.uint64(j % 64) & np.uint64(1))
+                keys[:, s] = _mix(_mix(value) ^ np.uint64(s))
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * len(parts))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", *words)), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))], names=["sid", *words, "keys"])
+
+    schema = ", ".join(f"{c} long" for c in ("sid", *words)) + ", keys array<long>"
+    return classes.select("sid", *words).mapInArrow(run, schema).select("sid", *words, F.explode("keys").alias("key"))
 
 
 def _hamming(a: str, b: str) -> Column:
@@ -141,16 +159,17 @@ def _hamming(a: str, b: str) -> Column:
     return total
 
 
-def nearest_sides(sides: DataFrame, k: int = 5, distance: float = 0.06) -> DataFrame:
+def nearest_sides(sides: DataFrame, k: int = 5, distance: float = 0.06, size: int | None = None) -> DataFrame:
     """(piece_id, side_index, near_piece_id, near_side_index, distance) of usable pieces' sides that are no edge.
 
     Up to ``k`` sides of other pieces with the smallest side distance, at most
     ``distance``; ties to smaller piece, then side.  Rows with a null id, a null or true
     ``is_edge``, no whole outline, or an outline that ends where it starts take no part.  A side
-    delivered twice counts once.  An empty table gives no rows.
+    delivered twice counts once.  An empty table gives no rows.  ``size`` makes the code for a collection of so many sides; by
+    default that of all rows, which is at least the number of classes.
     """
     vectors, rows = _sampled(sides)
-    coder = learn(vectors, rows)
+    coder = learn(vectors, size or rows)
     packed = packed_sides(sides.where(~F.col("is_edge"))).select("piece_id", "side_index", "outline")
     coded = staged(_coded(packed, coder).withColumn("c1", F.xxhash64("outline")).withColumn("c2", F.xxhash64("outline", F.lit(1))), "coded")
     words = [f"w{w}" for w in range(WORDS)]
@@ -182,22 +201,60 @@ def nearest_sides(sides: DataFrame, k: int = 5, distance: float = 0.06) -> DataF
 
 def _links(classes: DataFrame, outlines: DataFrame, coder: Coder, distance: float, keep: int) -> DataFrame:
     """(a, b, d): pairs of classes within ``distance``, from ordinary and from hot buckets."""
-    index = classes.select("sid", *[f"w{w}" for w in range(WORDS)], F.explode(_substrings(coder)).alias("key"))
-    keys = classes.select(F.explode(_substrings(coder)).alias("key"))
+    index = _index(classes, coder)
+    keys = index.select("key")
     # cells of keys are counted first: few and combined map-side; only full cells' keys one by one
     cells = max(1 << 16, 1 << max(0, (coder.bits - 2)))
     full = keys.groupBy(F.pmod("key", F.lit(cells)).alias("cell")).count().where(F.col("count") > HOT).select("cell")
     hot = staged(keys.withColumn("cell", F.pmod("key", F.lit(cells))).join(full, "cell", "left_semi").groupBy("key").count().where(F.col("count") > HOT), "hot")
     any_hot = not hot.isEmpty()
     cold = index.join(hot.select("key"), "key", "left_anti") if any_hot else index
-    a, b = cold.alias("a"), cold.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & (_hamming("a", "b") <= RADIUS)).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
-    links = _rerank(pairs, outlines, distance)
-    if any_hot:
-        links = links.unionByName(_blocks(index.select("sid", "key"), hot, outlines, distance, keep)).distinct()
+    pairs = _pairs(cold)
+    if not any_hot:
+        return _rerank(pairs, outlines, distance)
+    finer = staged(_cells(index.join(hot.select("key"), "key", "left_semi").join(outlines, "sid"), coder, distance), "finer")
+    still = staged(finer.groupBy("key").count().where(F.col("count") > HOT), "still-hot")
+    links = _rerank(pairs.unionByName(_pairs(finer.join(still.select("key"), "key", "left_anti"))).distinct(), outlines, distance)
+    if not still.isEmpty():
+        links = links.unionByName(_blocks(finer.select("sid", "key"), still, outlines, distance, keep)).distinct()
     return links
 
 
+def _pairs(index: DataFrame) -> DataFrame:
+    """(a, b), once each: classes of one bucket whose codes are within ``RADIUS``."""
+    a, b = index.alias("a"), index.alias("b")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & (_hamming("a", "b") <= RADIUS)
+    return a.join(b, on).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
+
+
+def _cells(rows: DataFrame, coder: Coder, distance: float) -> DataFrame:
+    """(sid, key, code words): each row of a hot bucket in its cell, and in the next along an axis where it is near the end."""
+    words = [f"w{w}" for w in range(WORDS)]
+    step = WIDE * distance
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y = (side_vectors(batch.column("outline").to_pylist()) - coder.mean) @ coder.turn[:, :FINER]
+            low = np.floor(y / step).astype(np.int64)
+            # distances are rounded to six decimals
+            high = np.floor((y + distance + 1e-6) / step).astype(np.int64)
+            at, cells = [], []
+            for corner in range(1 << FINER):
+                up = np.array([corner >> k & 1 for k in range(FINER)], bool)
+                there = np.flatnonzero((~up | (high > low)).all(axis=1))
+                at.append(there)
+                cells.append(low[there] + up)
+            where, cell = np.concatenate(at), np.concatenate(cells)
+            taken = batch.select(["sid", "key", *words]).take(pa.array(where))
+            yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(cell[:, k]) for k in range(FINER))], names=[*taken.schema.names, *(f"c{k}" for k in range(FINER))])
+
+    schema = ", ".join(f"{c} long" for c in ("sid", "key", *words, *(f"c{k}" for k in range(FINER))))
+    found = rows.select("sid", "key", *words, "outline").mapInArrow(run, schema)
+    return found.select("sid", F.xxhash64("key", *[f"c{k}" for k in range(FINER)]).alias("key"), *words)
+
+
 def _rerank(pairs: DataFrame, outlines: DataFrame, distance: float) -> DataFrame:
     left, right = (outlines.select(F.col("sid").alias(c), F.col("outline").alias(f"o{c}")) for c in "ab")
 

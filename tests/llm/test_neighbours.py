@@ -37,6 +37,23 @@ def test_recall_against_brute_force(spark):
     assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+def test_recall_holds_with_the_code_of_a_huge_collection(spark):
+    rows = table()
+    want = brute(rows)
+    for size in (1 << 22, 1 << 28):  # 164 million sides, 30 GB, make 28 bits
+        got = {tuple(r) for r in nearest_sides(spark.createDataFrame(rows, SIDES), size=size).drop("distance").collect()}
+        assert len(got & want) >= 0.96 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_hot_buckets_in_cells_lose_nothing(spark, monkeypatch):
+    rows = [x for p in range(40) for x in piece(p, [1, 2, 3, 4], jitter=1 + p % 4)]
+    sides = spark.createDataFrame(rows, SIDES)
+    plain = {tuple(r) for r in nearest_sides(sides).drop("distance").collect()}
+    monkeypatch.setattr(neighbours, "HOT", 30)  # buckets are hot, cells are not
+    assert {tuple(r) for r in nearest_sides(sides).drop("distance").collect()} == plain
+    assert len(plain & brute(rows)) >= 0.98 * len(plain)
+
+
 def test_hot_buckets_in_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "HOT", 3)
     monkeypatch.setattr(neighbours, "BLOCK", 2)
