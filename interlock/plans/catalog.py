@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from interlock.plans import data_queries, report_queries, search_queries, shape_queries
+from interlock.plans import data_queries, raster_queries, report_queries, search_queries, shape_queries
 from interlock.plans.registry import Query
 
-_PARTS = [data_queries.REGISTRY, shape_queries.REGISTRY, report_queries.REGISTRY, search_queries.REGISTRY]
+_PARTS = [data_queries.REGISTRY, shape_queries.REGISTRY, report_queries.REGISTRY, search_queries.REGISTRY, raster_queries.REGISTRY]
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -50,9 +51,11 @@ def _spokes(line: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return turn(before), turn(after)
 
 
-def corners(line: np.ndarray, top: int = 12) -> np.ndarray:
+def corners(line: np.ndarray, top: int = 12, pick: Callable[..., np.ndarray] | None = None) -> np.ndarray:
     """Indexes of the four corners along a contour; empty if there are none.
 
+    ``pick`` chooses among the candidates in place of the rule below, given the contour, each point's score, the direction it opens to, how far that is off the centre, and the candidates.
+
     Points whose spokes open by about a right angle towards the centre are candidates, the best of close ones
     stay, and of all fours of the best the one with the largest area, the squarest angles and the most even gaps wins.
     """
@@ -77,6 +80,8 @@ def corners(line: np.ndarray, top: int = 12) -> np.ndarray:
             break
     if len(kept) < 4:
         return np.zeros(0, int)
+    if pick is not None:
+        return pick(line, score, middle, off, np.array(kept))
     best, best_cost = None, np.inf
     for four in combinations(sorted(kept), 4):
         p = f[list(four)]
@@ -158,10 +163,10 @@ def incenter(ring: np.ndarray, stride: int = 8) -> tuple[int, int]:
     return int(round(best[0])), int(round(best[1]))
 
 
-def vectorised(mask: np.ndarray, edge_spread: float = 1.8) -> list[dict]:
+def vectorised(mask: np.ndarray, edge_spread: float = 1.8, pick: Callable[..., np.ndarray] | None = None) -> list[dict]:
     """The four sides of a piece as rows; raises ValueError where four corners can't be found or too many sides are flat."""
     line = contour(mask)
-    at = corners(line)
+    at = corners(line, pick=pick)
     if len(at) != 4:
         raise ValueError("no four corners")
     size = sum(mask.shape) / 200

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from interlock.operators.match import thousandths
@@ -56,6 +56,11 @@ def read_colors(spark: SparkSession, folder: str) -> DataFrame:
     return c.select(F.regexp_extract("_metadata.file_path", r"color_features_(\d+)\.json$", 1).cast("long").alias("piece_id"), "center_color", "overall_histogram")
 
 
+def write_colors(colors: DataFrame, folder: str) -> None:
+    """Colour features (piece_id, center_color, overall_histogram) as JSON, one object a line, partitioned by piece."""
+    colors.write.mode("overwrite").partitionBy("piece_id").json(folder)
+
+
 def write_sides(sides: DataFrame, folder: str, only_edges: bool = False) -> None:
     """Side records as JSON lines, partitioned by nothing; ``only_edges`` keeps pieces with a flat side."""
     if only_edges:
@@ -84,3 +89,41 @@ def catalog_html(cards: DataFrame) -> DataFrame:
     card = F.format_string('<div class="card"><h3>#%s</h3><p>%s</p></div>', F.col("piece_id").cast("string"), F.coalesce("photo", F.lit("")))
     g = cards.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("piece_id", card.alias("h")))).alias("c"))
     return g.select("class", F.concat(F.lit("<section><h2>"), F.col("class"), F.lit("</h2>"), F.array_join(F.transform("c", lambda s: s["h"]), ""), F.lit("</section>")).alias("html"))
+
+
+def board_svg(places: DataFrame, sides: DataFrame) -> DataFrame:
+    """(board_id, svg): every board as one drawing, each piece's sides turned and moved to its place.
+
+    ``places`` is what ``layout`` gives (board_id, piece_id, dest_x, dest_y, turn), ``sides`` has vertices and incenter.  A
+    piece without sides is not drawn.  A board's drawing is one text of the size of the board.
+    """
+    color = F.array(*[F.lit(c) for c in ("#c00", "#990", "#0a9", "#33b")])
+    s = sides.select("piece_id", "side_index", "vertices", "incenter").where((F.size("vertices") >= 2) & (F.size("incenter") >= 2))
+    j = places.join(s, "piece_id")
+    dx, dy = (lambda v: v[0] - F.col("incenter")[0]), (lambda v: v[1] - F.col("incenter")[1])
+    x = lambda v: F.round(F.col("dest_x") + dx(v) * F.cos("turn") - dy(v) * F.sin("turn"), 1)
+    y = lambda v: F.round(F.col("dest_y") + dx(v) * F.sin("turn") + dy(v) * F.cos("turn"), 1)
+    points = F.array_join(F.transform("vertices", lambda v: F.concat_ws(",", x(v), y(v))), " ")
+    line = F.concat(F.lit('<polyline fill="none" stroke="'), F.element_at(color, F.col("side_index") + 1), F.lit('" points="'), points, F.lit('"/>'))
+    g = j.select("board_id", "piece_id", "side_index", line.alias("l")).groupBy("board_id").agg(F.sort_array(F.collect_list(F.struct("piece_id", "side_index", "l"))).alias("c"))
+    return g.select("board_id", F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), F.array_join(F.transform("c", lambda v: v["l"]), ""), F.lit("</svg>")).alias("svg"))
+
+
+def guide_html(steps: DataFrame) -> DataFrame:
+    """(board_id, html): the steps of ``assembly_order`` row by row as a page, with a heading where the kind of piece changes."""
+    order = Window.partitionBy("board_id").orderBy("y", "x")
+    head = F.when(F.lag("class").over(order).eqNullSafe(F.col("class")), F.lit("")).otherwise(F.concat(F.lit("<h2>"), F.col("class"), F.lit("</h2>")))
+    beside = F.concat_ws(", ", *[F.when(F.col(f"{n}_id").isNotNull(), F.concat(F.lit(f"{n} #"), F.col(f"{n}_id").cast("string"))) for n in ("left", "right", "top", "bottom")])
+    item = F.concat(head, F.format_string("<p>#%s at (%s, %s), %s; %s</p>", F.col("piece_id").cast("string"), F.col("x").cast("string"), F.col("y").cast("string"), F.col("turn"), beside))
+    g = steps.withColumn("item", item).groupBy("board_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "item"))).alias("c"))
+    return g.select("board_id", F.concat(F.lit("<html><body>"), F.array_join(F.transform("c", lambda v: v["item"]), ""), F.lit("</body></html>")).alias("html"))
+
+
+def groups_html(groups: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(group_id, html): duplicate groups (id, group_id) as sections with their pairs' decisions (a, b, stage, total_rmse, ncc, confirms)."""
+    inside = decisions.join(groups.select(F.col("id").alias("a"), "group_id"), "a").join(groups.select(F.col("id").alias("b"), F.col("group_id").alias("g2")), "b").where("group_id = g2")
+    row = F.format_string("<li>%s - %s: stage %s, rmse %s, ncc %s, %s</li>", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("a", "b", "stage", "total_rmse", "ncc")], F.when(F.col("confirms"), "same").otherwise("open"))
+    pairs = inside.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("a", "b", row.alias("r")))).alias("p"))
+    members = groups.groupBy("group_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda v: v.cast("string")), ", ").alias("m"))
+    text = F.coalesce(F.array_join(F.transform("p", lambda v: v["r"]), ""), F.lit(""))
+    return members.join(pairs, "group_id", "left").select("group_id", F.concat(F.lit("<section><h2>"), F.col("group_id").cast("string"), F.lit("</h2><p>"), F.col("m"), F.lit("</p><ul>"), text, F.lit("</ul></section>")).alias("html"))

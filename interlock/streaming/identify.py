@@ -13,7 +13,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from interlock.conf import Conf
 from interlock.operators import match
-from interlock.session import exists, staged
+from interlock.operators.board import first_open_cell, solve_boards
+from interlock.session import exists, file_names, scratch_ends, staged
 
 CONF = Conf()
 
@@ -96,8 +97,84 @@ class Store:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
 
     def remove(self, piece: int) -> DataFrame:
-        """The stored sides without one piece."""
-        return self.table("sides").where(F.col("piece_id") != piece)
+        """Take a piece out of sides, fits and results for good; the sides that stay.
+
+        Only the batches it occurs in are written again, each beside the old one and then in its place.
+        """
+        gone = {"sides": F.col("piece_id") == piece, "results": F.col("piece_id") == piece, "fits": (F.col("piece_id") == piece) | (F.col("other_piece") == piece)}
+        for name, hit in gone.items():
+            if (table := self.table(name)) is None:
+                continue
+            for (batch,) in table.where(hit).select("batch").distinct().collect():
+                at = f"{self.path}/{name}/batch={batch}"
+                kept = staged(table.where((F.col("batch") == batch) & ~hit).drop("batch"), "kept")
+                kept.write.mode("overwrite").parquet(at)
+        return self.table("sides")
+
+    def edge_info(self) -> DataFrame:
+        """(piece_id, is_edge, is_corner): whether a stored piece has a flat side, and more than one."""
+        n = self.table("sides").groupBy("piece_id").agg(F.sum(F.col("is_edge").cast("int")).alias("n"))
+        return n.select("piece_id", (F.col("n") > 0).alias("is_edge"), (F.col("n") > 1).alias("is_corner"))
+
+    # -- the solved board, board_id 0
+
+    def _solution(self) -> tuple[DataFrame, DataFrame] | None:
+        names = [n for n in file_names(self.spark, f"{self.path}/solution") if n.startswith("v")]
+        if not names:
+            return None
+        at = f"{self.path}/solution/{names[-1]}"
+        return self.spark.read.parquet(f"{at}/placed"), self.spark.read.parquet(f"{at}/size")
+
+    def load_solution(self, placed: DataFrame, width: int, height: int) -> None:
+        """Keep (piece_id, x, y, orientation) of a solved board as the newest solution."""
+        at = f"{self.path}/solution/v{len(file_names(self.spark, f'{self.path}/solution')):09d}"
+        self.spark.createDataFrame([(width, height)], "width int, height int").write.parquet(f"{at}/size")
+        placed.select("piece_id", "x", "y", "orientation").write.parquet(f"{at}/placed")
+
+    def position_of(self, piece: int) -> tuple[int, int, int] | None:
+        """(x, y, orientation) of a piece in the newest solution."""
+        found = self._solution()
+        row = found[0].where(F.col("piece_id") == piece).first() if found else None
+        return (row["x"], row["y"], row["orientation"]) if row else None
+
+    def piece_at(self, x: int, y: int) -> int | None:
+        """The piece in a cell of the newest solution."""
+        found = self._solution()
+        row = found[0].where((F.col("x") == x) & (F.col("y") == y)).first() if found else None
+        return row["piece_id"] if row else None
+
+    def solve(self, width: int, height: int) -> bool:
+        """Solve the board of all stored pieces from the stored fits; whether it is whole.  A partial board is kept too."""
+        one = F.lit(0).cast("long").alias("board_id")
+        pieces = self.table("sides").select(one, "piece_id").distinct()
+        fits = self.table("fits").select(one, "piece_id", "side", "other_piece", "other_side", "err")
+        sizes = self.spark.createDataFrame([(0, width, height)], "board_id long, width int, height int")
+        placed = staged(solve_boards(pieces, fits, sizes, self.conf), "solved")
+        self.load_solution(placed, width, height)
+        return placed.where("complete").count() == width * height
+
+    def insert(self, piece: int) -> tuple[int, int, int] | None:
+        """Put a stored piece into the first empty cell of the newest solution where it can lie; None if there is none.  What is read is one board."""
+        found = self._solution()
+        if found is None:
+            return None
+        placed, (width, height) = found[0], found[1].first()
+        lists: dict[int, tuple[list, ...]] = {piece: ([], [], [], [])}
+        for r in self.table("fits").where(F.col("piece_id") == piece).collect():  # the fits of one piece
+            lists[piece][r["side"]].append((r["other_piece"], r["other_side"], r["err"]))
+        board = {(r["x"], r["y"]): (r["piece_id"], r["orientation"]) for r in placed.collect()}  # one board
+        spot = first_open_cell(board, lists, piece, width, height)
+        if spot is not None:
+            new = self.spark.createDataFrame([(piece, *spot)], "piece_id long, x int, y int, orientation int")
+            self.load_solution(staged(placed.unionByName(new), "placed"), width, height)
+        return spot
+
+    def place_new(self, piece: int, width: int, height: int) -> str:
+        """'new_solved' if a new piece can be inserted into the solution or, without one, the board be solved with it; else 'new_unsolved'."""
+        if self._solution() is not None:
+            return "new_solved" if self.insert(piece) is not None else "new_unsolved"
+        enough = self.table("sides").select("piece_id").distinct().limit(4).count() >= 4 and self.table("fits") is not None
+        return "new_solved" if enough and self.solve(width, height) else "new_unsolved"
 
     def next_id(self) -> int:
         return (self.table("sides").agg(F.max("piece_id")).first()[0] or 0) + 1
@@ -106,9 +183,27 @@ class Store:
         n = self.table("sides").select("piece_id").distinct().count()
         return max(0, expected - n), n >= expected
 
-    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        """Identify a stream of normalised sides until stopped; one trigger handles what is there."""
-        return stream.writeStream.foreachBatch(lambda df, k: self.ingest(df, k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def start(self, stream: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
+        """Identify a stream of normalised sides: what is there now, or with ``every`` (an interval) frame by frame until stopped."""
+
+        def ingest(df: DataFrame, k: int) -> None:
+            with scratch_ends(self.spark):  # a stream that keeps running must not fill the disk
+                self.ingest(df, k)
+
+        out = stream.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
+        return (out.trigger(availableNow=True) if every is None else out.trigger(processingTime=every)).start()
+
+
+def color_verified(results: DataFrame, new_colors: DataFrame, stored_colors: DataFrame, least: float = CONF.color_min) -> DataFrame:
+    """Identifications whose colours agree: known pieces whose histograms (piece_id, overall_histogram) are too unlike become 'new_unsolved'.
+
+    Where either has no colours the identification stands.
+    """
+    a, b = new_colors.select("piece_id", F.col("overall_histogram").alias("ha")), stored_colors.select(F.col("piece_id").alias("known_id"), F.col("overall_histogram").alias("hb"))
+    j = results.join(a, "piece_id", "left").join(b, "known_id", "left")
+    like = match.histogram_likeness([F.col(f"ha.{c}") for c in "hsv"], [F.col(f"hb.{c}") for c in "hsv"])
+    bad = (F.col("status") == "known") & F.coalesce(F.when(F.col("ha").isNotNull() & F.col("hb").isNotNull(), like <= least), F.lit(False))
+    return j.select("piece_id", F.when(bad, "new_unsolved").otherwise(F.col("status")).alias("status"), F.when(~bad, F.col("known_id")).alias("known_id"), F.when(bad, F.lit(0.5)).otherwise(F.col("confidence")).alias("confidence"))
 
 
 def arrivals(sides: DataFrame, at: str = "ingested_at") -> DataFrame:
