@@ -17,6 +17,10 @@ from interlock.operators.sides import profile_error
 CONF = Conf()
 #: Points of a side are summed in this many runs for the cheap bound.
 RUNS = 9
+#: Cell in which edges meet whatever their profiles.
+EDGE_CELL = -(1 << 40)
+#: Queries in one block of ``top_matches``.
+QUERIES = 20_000
 
 
 def polyline_error(one: Column, two: Column, two_len: Column, y_max: float = CONF.y_shift_max) -> Column:
@@ -152,13 +156,20 @@ def combined_score(err: Column, image: Column, color: Column | None = None) -> C
 
 
 def top_matches(queries: DataFrame, targets: DataFrame, score: Column, query_id: str, target_id: str, n: int) -> DataFrame:
-    """Each query's ``n`` best targets, all against all; the targets are a reference set of bounded size.
+    """Each query's ``n`` best targets, a stated set of queries against all targets.
 
-    Every partition of queries meets the targets and keeps only its best, before and after the shuffle by query.
+    The queries go to the targets in blocks of at most ``QUERIES``, so what is broadcast is bounded however many there are;
+    every partition of targets keeps only its best of each query before the shuffle.
     """
-    scored = queries.crossJoin(F.broadcast(targets)).select(query_id, target_id, score.alias("score"))
+    blocks = math.ceil(queries.count() / QUERIES) or 1
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), target_id)
-    return scored.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= n)
+    out = None
+    for k in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == k)
+        scored = targets.crossJoin(F.broadcast(part)).select(query_id, target_id, score.alias("score"))
+        best = scored.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= n)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def mutual_nearest(pairs: DataFrame, a: str, b: str, distance: str) -> DataFrame:
@@ -191,7 +202,8 @@ def hamming_pairs(rows: DataFrame, id_: str, code: str, below: int, bands: int =
 def same_shape(pieces: DataFrame, rmse: float, ratio: float) -> DataFrame:
     """(a, b, rot, total_rmse, n_matching) of pieces alike under one of four rotations.
 
-    Only pieces of one signature meet.  Sides that are edges in both are passed over; all others need a
+    Only pieces of one signature meet, and of these only ones whose profile means of the first side are within ``rmse`` (or both an edge): cells of that
+    width, each with its neighbours, are part of the join.  Sides that are edges in both are passed over; all others need a
     chord ratio of at least ``ratio`` (where both have length) and a profile error of at most ``rmse``.  The least total
     wins, then the first rotation.  A profile's mean differs by no more than its error, which is checked first, losing nothing.
     """
@@ -204,7 +216,12 @@ def same_shape(pieces: DataFrame, rmse: float, ratio: float) -> DataFrame:
     for i in range(4):
         x, y = F.get("a_chord", i), side("chord", i)
         cheap &= skip[i] | ((F.abs(F.get("a_level", i) - side("level", i)) <= rmse + 1e-9) & ((x <= 0) | (y <= 0) | (F.least(x, y) / F.greatest(x, y) >= ratio)))
-    pairs = a.join(b, ["n_flat", "types"]).where((F.col("a") < F.col("b")) & cheap)
+    cell = lambda level: F.floor(level / (rmse + 1e-9)).cast("long")
+    edge = F.lit(EDGE_CELL)
+    first = cell(F.get("a_level", 0))
+    a = a.withColumn("cell", F.explode(F.array_compact(F.array(first - 1, first, first + 1, F.when(F.get("a_is_edge", 0), edge)))))
+    b = b.withColumn("cell", F.explode(F.array_compact(F.array(cell(side("level", 0)), F.when(side("is_edge", 0), edge)))))
+    pairs = a.join(b, ["n_flat", "types", "cell"]).where((F.col("a") < F.col("b")) & cheap)
     errs = F.array(*[F.when(~skip[i], profile_error(F.get("a_profile", i), side("profile", i))) for i in range(4)])
     rows = pairs.select("a", "b", "rot", F.explode(F.array(F.array_compact(errs))).alias("e")).where((F.size("e") > 0) & (F.array_max("e") <= rmse))
     rows = rows.select("a", "b", F.struct(F.aggregate("e", F.lit(0.0), lambda acc, v: acc + v).alias("t"), "rot", F.size("e").alias("n")).alias("m"))

@@ -13,18 +13,29 @@ def histogram(df: DataFrame, value: str, width: float, by: list[str] | None = No
 
 
 def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Count, extremes, mean, median and deciles per group."""
-    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.1)).alias("p10"), F.percentile(value, F.lit(0.9)).alias("p90")
+    """Count, extremes, mean, median and deciles per group.
+
+    Equal values are counted first, map-side, so a group comes to one task as its distinct values with their numbers.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    at = lambda p: F.percentile("v", F.lit(p), F.col("k"))
+    return counted.groupBy(*by).agg(
+        F.sum("k").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"), at(0.5).alias("median"), at(0.1).alias("p10"), at(0.9).alias("p90")
     )
 
 
 def widest_gaps(df: DataFrame, value: str, n: int, by: str) -> DataFrame:
-    """Per group the ``n`` widest gaps between neighbouring values."""
-    w = Window.partitionBy(by).orderBy(value)
-    gaps = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("above"), F.lag(value).over(w).alias("below")).where(F.col("below").isNotNull())
+    """Per group the ``n`` widest gaps between neighbouring values; repeats of a value are neighbours without a gap.
+
+    Only distinct values are put in order; of their repeats, ``n`` stand for all.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("above")).agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy(by).orderBy("above")
+    between = counted.select(by, "above", F.lag("above").over(w).alias("below")).where(F.col("below").isNotNull())
+    repeats = counted.where(F.col("k") > 1).select(by, "above", F.col("above").alias("below"), F.explode(F.sequence(F.lit(1), F.least(F.col("k") - 1, F.lit(n).cast("long")))).alias("i")).drop("i")
     r = Window.partitionBy(by).orderBy(F.desc("gap"), "below", "above")
-    return gaps.withColumn("gap", F.col("above") - F.col("below")).withColumn("rank_no", F.row_number().over(r)).where(F.col("rank_no") <= n)
+    gaps = between.unionByName(repeats).withColumn("gap", F.col("above") - F.col("below"))
+    return gaps.withColumn("rank_no", F.row_number().over(r)).where(F.col("rank_no") <= n)
 
 
 def gap_clusters(df: DataFrame, value: Column, by: str, gap: float) -> DataFrame:

@@ -7,12 +7,11 @@ import logging
 import time
 from collections.abc import Callable
 from functools import wraps
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from interlock.session import exists
+from interlock.session import exists, read_text, remove, write_text
 
 LOG = logging.getLogger("interlock")
 
@@ -48,23 +47,23 @@ def attempted(f: Callable, *args: Any, default: Any = None, **kwargs: Any) -> tu
 
 
 class Marker:
-    """How far a run has come, in a small file."""
+    """How far a run has come, in a small file of the folder's own file system, so that a driver started elsewhere finds it."""
 
-    def __init__(self, folder: str) -> None:
-        self.file = Path(folder) / "stage.json"
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.file = spark, f"{folder}/stage.json"
 
     def save(self, step: int, data: Any = None) -> None:
-        self.file.parent.mkdir(parents=True, exist_ok=True)
-        self.file.write_text(json.dumps({"step": step, "data": data}))
+        self.clear()
+        write_text(self.spark, self.file, json.dumps({"step": step, "data": data}))
 
     def load(self) -> tuple[int, Any]:
-        if not self.file.exists():
+        if not exists(self.spark, self.file):
             return 0, None
-        v = json.loads(self.file.read_text())
+        v = json.loads(read_text(self.spark, self.file))
         return v["step"], v["data"]
 
     def clear(self) -> None:
-        self.file.unlink(missing_ok=True)
+        remove(self.spark, self.file)
 
     def is_done(self, step: int) -> bool:
         return self.load()[0] >= step

@@ -256,7 +256,7 @@ def test_pipeline_helpers(spark, tmp_path):
         return 7
 
     assert shaky() == 7 and attempted(lambda: 1 / 0, default=5)[0] == 5
-    m = Marker(str(tmp_path))
+    m = Marker(spark, f"file://{tmp_path}")
     assert m.load() == (0, None)
     m.save(3, {"a": 1})
     assert m.is_done(2) and not m.is_done(4)
