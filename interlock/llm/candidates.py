@@ -9,8 +9,11 @@ them, and what stands around them.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import regex
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 _LETTER = "A-Za-zÀ-ɏ"
@@ -22,7 +25,6 @@ _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]{0,9}\s*/?>")
 _STREET = "street|st|road|rd|lane|ln|way|avenue|ave|close|drive|court|square|terrace|boulevard|blvd|crescent|rise|mews|grove|hill|park|walk|gardens|green|alley|view|circle|gate"
 _VOIE = "rue|chemin|impasse|quai|place|avenue|allée|boulevard|cours|route|sentier|passage"
 _WEG = "straße|strasse|str\\.|weg|gasse|allee|platz|ufer|damm|steig|pfad"
-_WEG_ENDS = tuple(_WEG.replace("\\", "").split("|"))
 _VIA = "c/|calle|avda\\.?|avenida|plaza|pza\\.?|paseo|camino|travesía|ronda"
 _FLAT = "flat|apt\\.?|apartment|unit|suite|room"
 _AT = "at|arroba|arobase"
@@ -55,6 +57,8 @@ _EMAIL = re.compile(
     rf"(?P<domain>[A-Za-z0-9\-]+(?:(?:\.|{_S}?[\[({{]{_S}?(?:{_DOT}){_S}?[\])}}]{_S}?|{_S}(?:{_DOT}){_S})[A-Za-z0-9\-]+)*)",
     re.I,
 )
+#: What an address with its sign written out has at least.
+_WRITTEN_OUT = re.compile(rf"[\[({{]{_S}?(?:{_AT}){_S}?[\])}}]|{_S}(?:{_AT}){_S}[A-Za-z0-9\-]+{_S}?(?:[\[({{ ]?(?:{_DOT}|\.))", re.I)
 _NUMBER = re.compile(rf"(?<![A-Za-z0-9_+#{_DASH}])(?<!\d[.,/:])[+(]?\d[\d()./ \u00a0\u202f\x00{_DASH}]{{5,26}}\d")
 _ID = re.compile(
     rf"(?<![A-Za-z0-9_#{_DASH}])(?<!\d[.,/ ])(?:[A-Za-z]{{1,3}}[{_DASH}]?\d{{5,10}}[A-Za-z]?|\d{{5,10}}[ {_DASH}]?[A-Za-z]|\d{{2,4}}(?P<sep>[ /.{_DASH}\u00a0])\d{{2,4}}(?:(?P=sep)\d{{2,5}}){{1,2}}(?:[{_DASH}]\d{{1,3}})?|\d{{7,12}})(?![A-Za-z0-9])(?![{_DASH}/.]\d)"
@@ -76,8 +80,22 @@ _ANY = "[^\\W\\d_\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"
 #: Runs of letters with hyphens and apostrophes inside, and what is no word because a digit is in it.
 _TOKEN = re.compile(rf"\d[^\W_]*|{_ANY}+(?:['’\-\u2011]{_ANY}+)*(?:\d[^\W_]*|\.)?")
 _ASCII_TOKEN = re.compile(_TOKEN.pattern.replace(_ANY, "[A-Za-z]"), re.ASCII)
+#: Words as far as they can be looked up.
+_SIMPLE = re.compile(rf"{_ANY}{{2,}}(?:['’\-\u2011]{_ANY}+)*")
 #: Fixed word list: small words between the words of a name.
 _PARTICLES = frozenset("de del della di da dos das do du la le van von der den ter ten bin ibn binti al el af av zu y".split())
+_SMALL = "|".join(sorted(_PARTICLES))
+
+
+def _runs(letter: str, capital: str, engine) -> re.Pattern:
+    """Two or more words or initials that begin with a capital, in any gaps a name may have, small words between."""
+    word = rf"(?:{capital}(?:{letter}|['’\-\u2011])*\.?)"
+    gap = rf"(?:{_S}{{1,6}}|,{_S}{{1,6}}|{_S}*\n{_S}*)"
+    return engine.compile(rf"(?<!{letter}){word}(?:{gap}(?:(?:{_SMALL}){gap}){{0,2}}{word})+")
+
+
+_ASCII_RUN = _runs("[A-Za-z]", "[A-Z]", re)
+_RUN = _runs(r"\p{L}", r"\p{Lu}", regex)
 #: Fixed word list: titles before a name, no part of it.
 _TITLES = frozenset("mr mrs ms miss dr prof herr frau mme mlle sr sra srta señor señora madame monsieur don doña".split())
 #: Fixed word list: the commonest Chinese family names.
@@ -171,7 +189,9 @@ _NUMBER_CONTEXT = ("phone", "id", "goods", "place")
 def find(text: str, names: Names) -> list[Candidate]:
     """All candidates of all kinds, overlapping ones too."""
     t = masked(text)
-    return [*_emails(t, names), *_phones(t), *_ids(t), *_addresses(t), *_names(t, names)]
+    seen = set(_SIMPLE.findall(t))
+    low = {w.lower() for w in seen}
+    return [*_emails(t, names), *_phones(t), *_ids(t), *_addresses(t, low), *_names(t, names, seen)]
 
 
 def _plain(word: str, names: Names) -> float:
@@ -180,7 +200,7 @@ def _plain(word: str, names: Names) -> float:
 
 def _emails(t: str, names: Names) -> list[Candidate]:
     out = []
-    for m in _EMAIL.finditer(t) if "@" in t or re.search(_AT, t, re.I) else ():
+    for m in _EMAIL.finditer(t) if "@" in t or _WRITTEN_OUT.search(t) else ():
         at, domain, local = m["at"], m["domain"], m["local"]
         labels = [x for x in re.split(rf"\.|[\[({{]\s?(?:{_DOT})\s?[\])}}]|\s(?:{_DOT})\s", domain, flags=re.I) if x and x.strip()]
         last = labels[-1].strip().lower()
@@ -225,11 +245,21 @@ def _ids(t: str) -> list[Candidate]:
     return out
 
 
-def _addresses(t: str) -> list[Candidate]:
+#: Words of which a text must have one for each shape of address that begins or ends with a word; the others are looked for by a mark.
+_NEEDED = {
+    0: frozenset(_STREET.split("|")), 1: frozenset(_VOIE.split("|")), 3: frozenset("am an auf zum zur im in unter".split()), 4: frozenset("calle avda avenida plaza pza paseo camino travesía ronda".split()),
+}
+_WEG_NUMBER = re.compile(rf"(?:{_WEG}){_S}+\d", re.I)
+
+
+def _addresses(t: str, low: set[str]) -> list[Candidate]:
+    """``low`` has the text's words in small letters."""
     out = []
-    low = t.lower()
     for shape, pattern in enumerate(_ADDRESS):
-        if shape == 2 and not any(w in low for w in _WEG_ENDS) or shape == 5 and t.isascii():
+        if shape in _NEEDED:
+            if low.isdisjoint(_NEEDED[shape]) and not (shape == 4 and "/" in t):
+                continue
+        elif shape == 2 and not _WEG_NUMBER.search(t) or shape == 5 and "号" not in t and "弄" not in t:
             continue
         for m in pattern.finditer(t):
             s = m.group()
@@ -245,10 +275,25 @@ def _addresses(t: str) -> list[Candidate]:
     return out
 
 
-def _words(t: str) -> list[tuple[int, int, str]]:
-    """(start, end, word) of words of two or more letters, and of initials with their stop."""
+def _words(t: str, names: Names, seen: set[str]) -> list[tuple[int, int, str]]:
+    """(start, end, word) of words of two or more letters, and of initials with their stop: all of them if a known name is written small, else those in runs of capitalised words."""
+    plain = t.isascii()
+    token = _ASCII_TOKEN if plain else _TOKEN
+    judged = names.judged
+    if any(w[0].islower() and judged(w) != _UNKNOWN for w in seen):
+        return _tokens(token.finditer(t), t)
+    out: list[tuple[int, int, str]] = []
+    for m in (_ASCII_RUN if plain else _RUN).finditer(t):
+        out += _tokens(token.finditer(t, *m.span()), t)
+    return out
+
+
+_UNKNOWN = (0.0, 0.0)
+
+
+def _tokens(found: Iterator[re.Match], t: str) -> list[tuple[int, int, str]]:
     out = []
-    for m in (_ASCII_TOKEN if t.isascii() else _TOKEN).finditer(t):
+    for m in found:
         w = m.group()
         if w[-1] == ".":
             if len(w) == 2:
@@ -298,8 +343,8 @@ def _name_spans(t: str, tokens: list[tuple[int, int, str]], hit: list[bool]) ->
     return out
 
 
-def _names(t: str, names: Names) -> list[Candidate]:
-    tokens = _words(t)
+def _names(t: str, names: Names, seen: set[str]) -> list[Candidate]:
+    tokens = _words(t, names, seen)
     known = [(0.0, 0.0) if w[-1] == "." else names.judged(w) for _, _, w in tokens]
     hit = [g > 0 or f > 0 for g, f in known]
     out = [] if t.isascii() else _han_names(t)
