@@ -276,7 +276,13 @@ def assembly_order(spark: SparkSession, base: str) -> DataFrame:
     return stats.assembly_order(*_board(spark, base))
 
 
-@REGISTRY.query()
+@REGISTRY.query(
+    _BOARD_SQL
+    + """, g AS (SELECT board_id, xx::INT AS x, yy::INT AS y FROM (SELECT board_id, unnest(range(0, width)) AS xx, height FROM sz), LATERAL (SELECT unnest(range(0, height)) AS yy)),
+ w AS (SELECT board_id, length(max(piece_id)::VARCHAR) AS p FROM pl GROUP BY 1)
+SELECT g.board_id, g.y, string_agg(CASE WHEN pl.piece_id IS NULL THEN repeat(' ', w.p) || '-' ELSE right(lpad(pl.piece_id::VARCHAR, 12, ' ') || CASE pl.orientation WHEN 0 THEN '^' WHEN 1 THEN '>' WHEN 2 THEN 'v' ELSE '<' END, (w.p + 1)::INT) END, ' ' ORDER BY g.x) AS line
+FROM g JOIN w ON w.board_id = g.board_id LEFT JOIN pl ON pl.board_id = g.board_id AND pl.x = g.x AND pl.y = g.y GROUP BY 1, 2"""
+)
 def solution_text(spark: SparkSession, base: str) -> DataFrame:
     """Each board as lines of text."""
     return stats.grid_text(*_board(spark, base))
