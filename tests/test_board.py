@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -81,3 +82,14 @@ def test_board_is_as_large_as_its_customers_ask_for(spark, tmp_path):
     spark.range(150 + 20).select((F.col("id") >= 150).cast("int").alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
     got = board_solve(spark, str(tmp_path)).groupBy("board_id").agg(F.count("*"), F.max("x") + 1, F.max("y") + 1, F.min("complete")).collect()
     assert {tuple(r) for r in got} == {(0, 156, 13, 12, True), (1, 25, 5, 5, True)}
+
+
+def test_search_time_grows_with_the_board():
+    """10,000 pieces: laying the whole board again for each state took some 40 s."""
+    fits, answer = generated_puzzle(100, 100, 1)
+    g = {p: ([], [], [], []) for p, *_ in answer}
+    for p, s, o, t, e in sorted(fits, key=lambda f: f[4]):
+        g[p][s].append((o, t, e))
+    began = time.process_time()
+    placed = solve_from(g, corners_and_edges(g)[0][0], 100, 100)
+    assert len(placed) == 10_000 and time.process_time() - began < 15
