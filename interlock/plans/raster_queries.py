@@ -187,7 +187,7 @@ def board_answer(spark: SparkSession, base: str) -> DataFrame:
         true = {(p, at.get((x + dx, y + dy))) for (x, y), p in at.items() for dx, dy in board.STEPS}
         return pd.DataFrame([(k, *f, (f[0], f[2]) in true) for f in fits], columns=["board_id", "piece_id", "side", "other_piece", "other_side", "err", "truly"])
 
-    fits = staged(grids.groupBy("board_id").applyInPandas(make, "board_id long, piece_id long, side int, other_piece long, other_side int, err double, truly boolean"), "puzzles")
+    fits = staged(board.spread(grids, "board_id").groupBy("board_id").applyInPandas(make, "board_id long, piece_id long, side int, other_piece long, other_side int, err double, truly boolean"), "puzzles")
     placed = staged(board.solve_boards(fits.select("board_id", "piece_id").distinct(), fits.drop("truly"), grids), "boards")
     beside = placed.select("board_id", F.col("piece_id").alias("other_piece"), F.explode(F.array(*[F.struct((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y")) for dx, dy in ((1, 0), (0, 1))])).alias("c"))
     pairs = placed.join(beside.select("board_id", "other_piece", "c.x", "c.y"), ["board_id", "x", "y"]).select("board_id", "piece_id", "other_piece")
