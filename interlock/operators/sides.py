@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from interlock.conf import Conf
 from interlock.functions import geom
+from interlock.operators import alike
 from interlock.operators.pieces import usable_ids, valid_side
 
 CONF = Conf()
 
 
-def distinct_sides(sides: DataFrame) -> DataFrame:
+def distinct_sides(sides: DataFrame, by_piece: bool = False) -> DataFrame:
     """One row per side of every usable piece: piece_id, side_index, vertices, piece_center, is_edge, batch_id.
 
-    Copies of a side are alike by contract; an aggregate without order picks one map-side.
+    Copies of a side are alike by contract; an aggregate without order picks one map-side, or with ``by_piece``
+    after a shuffle by piece, which then serves all that follows by piece.
     """
     rows = sides.where(valid_side() & F.col("piece_id").isNotNull() & F.col("side_index").between(0, 3))
+    if by_piece:
+        rows = rows.select("piece_id", "side_index", "vertices", "piece_center", "is_edge", "batch_id").repartition("piece_id")
     one = rows.groupBy("piece_id", "side_index").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("vertices", "piece_center", "is_edge", "batch_id")])
     return one.join(usable_ids(sides), "piece_id", "left_semi")
 
@@ -100,14 +106,26 @@ def signatures(sides: DataFrame) -> DataFrame:
     """(piece_id, n_flat, types): side types in order, and the smallest of their four rotations as the key of alike pieces."""
     t = sides.select("piece_id", "side_index", side_type(F.col("vertices"), F.col("piece_center"), F.col("is_edge")).alias("t"))
     rows = t.groupBy("piece_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("side_index", "t"))), lambda s: s["t"]).alias("in_order"))
-    return rows.select("piece_id", F.size(F.filter("in_order", lambda x: x == "F")).alias("n_flat"), F.array_join(geom.smallest_rotation(F.col("in_order")), "").alias("types"))
+    return rows.select("piece_id", *_signature(F.col("in_order")))
+
+
+def _signature(in_order: Column) -> list[Column]:
+    return [F.size(F.filter(in_order, lambda x: x == "F")).alias("n_flat"), F.array_join(geom.smallest_rotation(in_order), "").alias("types")]
 
 
 def piece_rows(sides: DataFrame, points: int = CONF.profile_points) -> DataFrame:
     """One row a piece: arrays over its four sides (edge, chord, profile, mean of profile) and its signature."""
-    v = F.col("vertices")
-    rows = sides.select("piece_id", "side_index", "is_edge", geom.distance(geom.first(v), geom.last(v)).alias("chord"), profile(v, points).alias("profile"))
-    rows = rows.withColumn("level", geom.mean(F.col("profile")))
-    got = rows.groupBy("piece_id").agg(F.sort_array(F.collect_list(F.struct("side_index", "is_edge", "chord", "profile", "level"))).alias("s"))
-    arrays = got.select("piece_id", *[F.transform("s", geom.field(c)).alias(c) for c in ("is_edge", "chord", "profile", "level")])
-    return arrays.join(signatures(sides), "piece_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                chord, heights, level = alike.profiles(*alike.points_of(b.column("vertices").flatten()), points)
+                at = b.column("vertices").offsets
+                nested = [pa.ListArray.from_arrays(at, v) for v in (pa.array(chord), alike.lists(heights), pa.array(level))]
+                yield pa.RecordBatch.from_arrays([b.column("piece_id"), b.column("is_edge"), *nested, b.column("n_flat"), b.column("types")], names=names)
+
+    names = ["piece_id", "is_edge", "chord", "profile", "level", "n_flat", "types"]
+    rows = sides.where("size(vertices) > 1").select("piece_id", F.struct("side_index", "is_edge", side_type(F.col("vertices"), F.col("piece_center"), F.col("is_edge")).alias("t"), "vertices").alias("s"))
+    got = rows.groupBy("piece_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    arrays = got.select("piece_id", *[F.transform("s", geom.field(c)).alias(c) for c in ("is_edge", "t", "vertices")])
+    return arrays.select("piece_id", "is_edge", "vertices", *_signature(F.col("t"))).mapInArrow(run, "piece_id long, is_edge array<boolean>, chord array<double>, profile array<array<double>>, level array<double>, n_flat int, types string")

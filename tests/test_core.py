@@ -207,6 +207,17 @@ def test_signatures_and_rotations(spark):
     assert [(r["a"], r["b"], r["rot"], r["n_matching"], r["stage"]) for r in found] == [(1, 2, 1, 4, 1)]
 
 
+def test_pieces_alike_meet_across_blocks(spark, monkeypatch):
+    """Blocks of a few pieces find what one block finds; a copy turned by one side, and one seen from the larger id, among them."""
+    rows = [r for k in range(24) for r in piece(k + 1, [10 * (k % 8) + j for j in range(4)], turn=k // 8, jitter=k % 3)]
+    p = piece_rows(spark.createDataFrame(rows, SIDES))
+    whole = sorted(map(tuple, match.cascade(p).collect()))
+    monkeypatch.setattr(match, "PIECES", 3)
+    assert sorted(map(tuple, match.cascade(p).collect())) == whole and len(whole) >= 24
+    strict = sorted((r["a"], r["b"], r["rot"]) for r in match.same_shape(p, 0.025, 0.85).collect())
+    assert strict == sorted((r[0], r[1], r[2]) for r in whole if r[5] == 1) and {r[2] for r in strict} >= {2, 3}
+
+
 def test_groups_best_and_fusion(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     g = {r["id"]: r["group_id"] for r in dedup.linked_groups(pairs).collect()}
