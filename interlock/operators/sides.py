@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from interlock.conf import Conf
 from interlock.functions import geom
@@ -33,20 +33,16 @@ def distinct_sides(sides: DataFrame, by_piece: bool = False) -> DataFrame:
 def normalised(sides: DataFrame, conf: Conf = CONF) -> DataFrame:
     """Adds arc_len, chord_len, v (27 whole points, first at the origin, last on the x axis) and vf (the same seen from
     the other piece: turned half round, moved to x >= 0, order reversed)."""
-    origin = F.array(F.lit(0.0), F.lit(0.0))
 
-    def turned(points: Column) -> Column:
-        base, way = geom.first(points), geom.angle(geom.first(points), geom.last(points))
-        return geom.let(geom.moved(points, geom.minus(origin, base)), lambda p: F.struct(geom.rotated(p, origin, -way).alias("v"), geom.let(geom.rotated(p, origin, math.pi - way), flipped).alias("vf")))
-
-    def flipped(line: Column) -> Column:
-        low = F.array_min(F.transform(line, lambda q: q[0]))
-        return geom.let(low, lambda m: F.reverse(F.transform(line, lambda q: F.array(q[0] - m, q[1]))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                arc, chord, v, vf = alike.normal_forms(*alike.points_of(b.column("vertices")), conf.segments)
+                new = [*(pa.array(c, from_pandas=True) for c in (arc, chord)), *(alike.lists(c, pa.int32()) for c in (v, vf))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "arc_len", "chord_len", "v", "vf"])
 
-    # explode over one element keeps the planner from copying the expression into each use
-    p = sides.withColumn("t", F.explode(F.array(geom.let(geom.resample(F.col("vertices"), conf.segments), turned))))
-    p = p.withColumn("arc_len", geom.polyline_length(F.col("vertices"))).withColumn("v", F.col("t.v")).withColumn("vf", F.col("t.vf"))
-    return p.withColumn("chord_len", geom.distance(geom.first(F.col("v")), geom.last(F.col("v")))).drop("t")
+    added = "arc_len double, chord_len double, v array<array<int>>, vf array<array<int>>"
+    return sides.mapInArrow(run, StructType([*sides.schema.fields, *StructType.fromDDL(added).fields]))
 
 
 def metrics(sides: DataFrame) -> DataFrame:
