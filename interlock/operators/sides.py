@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -115,13 +117,18 @@ def piece_rows(sides: DataFrame, points: int = CONF.profile_points) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                chord, heights, level = alike.profiles(*alike.points_of(b.column("vertices").flatten()), points)
+                lines = alike.points_of(b.column("vertices").flatten())
+                chord, heights, level = alike.profiles(*lines, points)
+                center = np.stack([b.column(c).flatten().to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], axis=1)
+                edge = pc.fill_null(b.column("is_edge").flatten(), False).to_numpy(zero_copy_only=False)
                 at = b.column("vertices").offsets
-                nested = [pa.ListArray.from_arrays(at, v) for v in (pa.array(chord), alike.lists(heights), pa.array(level))]
-                yield pa.RecordBatch.from_arrays([b.column("piece_id"), b.column("is_edge"), *nested, b.column("n_flat"), b.column("types")], names=names)
+                nested = [pa.ListArray.from_arrays(at, v) for v in (pa.array(chord), alike.lists(heights), pa.array(level), pa.array(alike.types(*lines, center, edge)))]
+                yield pa.RecordBatch.from_arrays([b.column("piece_id"), b.column("is_edge"), *nested], names=names)
 
-    names = ["piece_id", "is_edge", "chord", "profile", "level", "n_flat", "types"]
-    rows = sides.where("size(vertices) > 1").select("piece_id", F.struct("side_index", "is_edge", side_type(F.col("vertices"), F.col("piece_center"), F.col("is_edge")).alias("t"), "vertices").alias("s"))
+    names = ["piece_id", "is_edge", "chord", "profile", "level", "t"]
+    center = [F.get("piece_center", k).cast("double").alias(c) for k, c in enumerate("xy")]
+    rows = sides.where("size(vertices) > 1").select("piece_id", F.struct("side_index", "is_edge", *center, "vertices").alias("s"))
     got = rows.groupBy("piece_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    arrays = got.select("piece_id", *[F.transform("s", geom.field(c)).alias(c) for c in ("is_edge", "t", "vertices")])
-    return arrays.select("piece_id", "is_edge", "vertices", *_signature(F.col("t"))).mapInArrow(run, "piece_id long, is_edge array<boolean>, chord array<double>, profile array<array<double>>, level array<double>, n_flat int, types string")
+    arrays = got.select("piece_id", *[F.transform("s", geom.field(c)).alias(c) for c in ("is_edge", "x", "y", "vertices")])
+    found = arrays.mapInArrow(run, "piece_id long, is_edge array<boolean>, chord array<double>, profile array<array<double>>, level array<double>, t array<string>")
+    return found.select("piece_id", "is_edge", "chord", "profile", "level", *_signature(F.col("t")))

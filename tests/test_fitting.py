@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from interlock.operators import fitting, match
+from interlock.operators import alike, fitting, match
 from interlock.operators.alike import normal_forms, points_of
 from interlock.operators.sides import distinct_sides, normalised
 from tests.shapes import SIDES, outline, piece
@@ -46,3 +46,37 @@ def test_fits_meet_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(match, "SIDES", 20)
     assert [sorted(map(tuple, match.fit_errors(n, 3.5, **a).collect())) for a in asks] == whole and all(whole)
     assert {r[0] for r in whole[1]} <= {9, 10, 11, 12} and all(r[0] > r[2] for r in whole[2])
+
+
+def test_leaves_lose_no_alike_piece():
+    """Pieces alike under some rotation are all found, and few others are held against each other."""
+    r = np.random.default_rng(5)
+    kinds = np.cumsum(r.normal(0, 0.05, (150, 4, 50)), axis=2)
+    rows = np.concatenate([np.roll(kinds[k % 150], k // 150, axis=0)[None] + r.normal(0, 0.004 * (k % 4), (1, 4, 50)) for k in range(600)])
+    edge = np.zeros((600, 4), bool)
+    edge[::5, 0] = True
+    t = pa.table({"piece_id": r.permutation(600), "is_edge": edge.tolist(), "chord": np.full((600, 4), 100.0).tolist(), "profile": rows.tolist()})
+    p = alike.Pieces(t)
+    want = {}
+    for i in range(600):
+        for j in range(600):
+            if p.id[i] < p.id[j]:
+                for rot in range(4):
+                    other = (np.arange(4) + rot) % 4
+                    used = ~(edge[i] & edge[j][other])
+                    err = np.sqrt(((rows[i] - rows[j][other]) ** 2).mean(axis=1))[used]
+                    if err.max() <= 0.025:
+                        want[int(p.id[i]), int(p.id[j])] = min(want.get((int(p.id[i]), int(p.id[j])), (9.0, 0)), (float(err.sum()), rot))
+    got = alike.alike(p, None, [(0.025, 0.85)])
+    assert {(a, b): rot for a, b, rot in zip(got["a"].tolist(), got["b"].tolist(), got["rot"].tolist())} == {k: rot for k, (_, rot) in want.items()} and len(want) > 300
+    halves = [alike.Pieces(t.slice(0, 300)), alike.Pieces(t.slice(300))]
+    parts = [alike.alike(halves[0], None, [(0.025, 0.85)]), alike.alike(halves[1], None, [(0.025, 0.85)]), alike.alike(*halves, [(0.025, 0.85)])]
+    assert {(a, b) for g in parts for a, b in zip(g["a"].tolist(), g["b"].tolist())} == set(want)
+
+
+def test_a_leaf_leaves_out_what_is_far():
+    x = np.repeat(np.linspace(0, 50, 4000), 4).reshape(4000, 4, 1).repeat(6, axis=2).astype(np.float32)
+    sides = alike.leaves(x.reshape(4000, -1), 64)
+    assert sorted(np.concatenate(sides)) == list(range(4000)) and max(np.ptp(x[s, 0, 0]) for s in sides) < 1
+    pairs = [p for r, c in alike._near(x, x, 0.025, 50, True) for p in zip(r.tolist(), c.tolist())]
+    assert len(pairs) == len(set(pairs)) and {(k, k + 1) for k in range(3999)} <= set(pairs) and len(pairs) < 4000 * 40
