@@ -80,3 +80,30 @@ def test_a_leaf_leaves_out_what_is_far():
     assert sorted(np.concatenate(sides)) == list(range(4000)) and max(np.ptp(x[s, 0, 0]) for s in sides) < 1
     pairs = [p for r, c in alike._near(x, x, 0.025, 50, True) for p in zip(r.tolist(), c.tolist())]
     assert len(pairs) == len(set(pairs)) and {(k, k + 1) for k in range(3999)} <= set(pairs) and len(pairs) < 4000 * 40
+
+
+def test_most_sides_find_a_fit_among_neighbours():
+    """``some`` names only sides that have a fit, and most of these."""
+    t, *_ = sides(list(range(1500)))
+    x = fitting.Sides(t, 27, 2)
+    want = {r["piece_id"] for b in fitting.fitting(x, x, 0.8, 5.0, 0.08, True) for r in b.to_pylist()}
+    got = set(x.id[fitting.some(x, 0.8, 5.0, 0.08)].tolist())
+    assert got <= want and len(got) > 0.9 * len(want) > 500
+
+
+def test_sides_without_fit_are_the_orphans(spark, monkeypatch):
+    """Only sides that no neighbour settles are held against all; the answer is that of all fits, copies, edges and closed sides included."""
+    rows = [(*r[:2], r[2][:: (-1) ** p], *r[3:]) for p in range(60) for r in piece(p + 1, [5 * (p // 2 % 6) + k for k in range(4)], jitter=2, edge=p % 10 == 9)]
+    rows += [x for p in range(60, 66) for x in piece(p + 1, [900 + 4 * p + k for k in range(4)])]
+    rows = [(*r[:2], [r[2][0], [200, 300], r[2][0]], *r[3:]) if r[:2] == (61, 0) else r for r in rows] + rows[:40]
+    table = spark.createDataFrame(rows, SIDES)
+    n = normalised(distinct_sides(table))
+    want = sorted(map(tuple, match.orphans(n, match.fit_errors(n, 0.8)).collect()))
+    lines = match.normal_lines(table).cache()
+    same = sorted(map(tuple, match.fit_errors(n, 0.8).collect()))
+    assert sorted(map(tuple, match.line_errors(lines, 0.8).collect())) == same and same
+    asked, whole = [], match.line_errors
+    monkeypatch.setattr(match, "line_errors", lambda lines, error_max, conf, among: asked.append(among.count()) or whole(lines, error_max, conf, among))
+    got = sorted(map(tuple, match.without_fit(lines, 0.8).collect()))
+    assert got == want and (61, 0) in got and 4 < len(got) < 100
+    assert asked[0] < lines.count() / 2
