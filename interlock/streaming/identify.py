@@ -86,10 +86,11 @@ class Store:
             unknown = self.spark.read.parquet(f"{self.path}/results/batch={batch}").where("status <> 'known'").select("piece_id")
             fresh = new.join(unknown, "piece_id", "left_semi")
             self._write(fresh, "sides", batch)
-            every = stored.unionByName(fresh)
-            fore = match.fit_errors(every, self.fit_max, self.conf, among=fresh)
-            back = match.fit_errors(fresh, self.fit_max, self.conf, among=stored)
-            self._write(fore.unionByName(back), "fits", batch)
+            lines = staged(match.lines_of(self.spark.read.parquet(f"{self.path}/sides/batch={batch}")), "fresh")
+            own = match.line_errors(lines, self.fit_max, self.conf)
+            sizes = [match.side_count(stored), lines.count()]
+            other = match.line_errors(match.lines_of(stored), self.fit_max, self.conf, among=lines, both=True, sizes=sizes)  # each pair looked at once
+            self._write(own.unionByName(other), "fits", batch)
         finally:
             new.unpersist()
 

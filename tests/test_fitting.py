@@ -107,3 +107,30 @@ def test_sides_without_fit_are_the_orphans(spark, monkeypatch):
     got = sorted(map(tuple, match.without_fit(lines, 0.8).collect()))
     assert got == want and (61, 0) in got and 4 < len(got) < 100
     assert asked[0] < lines.count() / 2
+
+
+def test_two_sets_meet_once_for_both_directions(spark):
+    """The fits of new sides and stored ones, in either direction, from one look at each pair."""
+    rows = [(*r[:2], r[2][:: (-1) ** p], *r[3:]) for p in range(20) for r in piece(p + 1, [5 * (p // 2 % 6) + k for k in range(4)], jitter=2)]
+    n = normalised(distinct_sides(spark.createDataFrame(rows, SIDES))).cache()
+    fresh, stored = n.where("piece_id > 13"), n.where("piece_id <= 13")
+    apart = match.fit_errors(stored, 0.8, among=fresh).unionByName(match.fit_errors(fresh, 0.8, among=stored))
+    once = match.line_errors(match.lines_of(stored), 0.8, among=match.lines_of(fresh), both=True)
+    want = sorted(map(tuple, apart.collect()))
+    assert sorted(map(tuple, once.collect())) == want and {r[0] > 13 for r in want} == {True, False}
+
+
+def test_boxes_lose_no_pair(monkeypatch):
+    """With a small limit, sides are held only against what is near a box around neighbours; what is found stays the same."""
+    t, *_ = sides(list(range(600)))
+    x, y = fitting.Sides(t, 27, 2), fitting.Sides(t, 27, 2)
+    found = lambda: {(r["piece_id"], r["other_piece"]): r["err"] for b in fitting.fitting(x, y, 0.6, 5.0, 0.08, False) for r in b.to_pylist()}
+    met = []
+    close = fitting._close
+    monkeypatch.setattr(fitting, "_close", lambda f, g, ty, rows, cols: met.append(len(rows) * len(cols)) or close(f, g, ty, rows, cols))
+    monkeypatch.setattr(fitting, "BOX", 8)
+    monkeypatch.setattr(fitting, "SMALL", 0)
+    boxed = found()
+    assert 0 < sum(met) < 600 * 600 * 0.9
+    monkeypatch.setattr(fitting, "SMALL", float("inf"))
+    assert found() == boxed and len(boxed) > 20
