@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from interlock.operators import alike, fitting, match
 from interlock.operators.alike import normal_forms, points_of
@@ -134,3 +137,26 @@ def test_boxes_lose_no_pair(monkeypatch):
     assert 0 < sum(met) < 600 * 600 * 0.9
     monkeypatch.setattr(fitting, "SMALL", float("inf"))
     assert found() == boxed and len(boxed) > 20
+
+
+def test_hits_unfold_only_true_cells():
+    mask = np.random.default_rng(3).random((64, 4096)) < 0.02
+    mask[5], mask[6] = True, False
+    assert all((a == b).all() for a, b in zip(alike.hits(mask), np.nonzero(mask)))
+    tracemalloc.start()
+    alike.hits(mask)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * np.count_nonzero(mask.reshape(-1, 8).any(axis=1)) + 32 * mask.sum()
+
+
+def test_pairs_of_blocks_are_dealt_out_evenly(spark, monkeypatch):
+    """No task holds many pairs of blocks against each other while others have none."""
+    rows = [(*r[:2], r[2][:: (-1) ** p], *r[3:]) for p in range(60) for r in piece(p + 1, [5 * (p // 2 % 6) + k for k in range(4)], jitter=2)]
+    lines = match.normal_lines(spark.createDataFrame(rows, SIDES)).cache()
+    whole = sorted(map(tuple, match.line_errors(lines, 0.8).collect()))
+    monkeypatch.setattr(match, "SIDES", 30)  # 8 blocks, 36 pairs
+    fits = match.line_errors(lines, 0.8)
+    assert sorted(map(tuple, fits.collect())) == whole and whole
+    tasks = fits.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks > 18
