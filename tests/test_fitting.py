@@ -160,3 +160,19 @@ def test_pairs_of_blocks_are_dealt_out_evenly(spark, monkeypatch):
     assert sorted(map(tuple, fits.collect())) == whole and whole
     tasks = fits.select(F.spark_partition_id().alias("task")).distinct().count()
     assert tasks > 18
+
+
+@pytest.mark.parametrize("lines", [1, 2])
+def test_packed_lines_come_back_in_few_bytes(lines):
+    """Steps of 8 bits where they fit, whatever the other rows need; nothing changes on the way."""
+    r = np.random.default_rng(9)
+    near = np.cumsum(r.integers(-60, 60, (40, lines, 27, 2)), axis=2)
+    if lines == 2:
+        near[:, 1] = [560, 0] - near[:, 0, ::-1]
+    mixed = near * np.array([1, 9, 3000, 10**8, 10**12])[np.arange(40) % 5][:, None, None, None]
+    for given in (near, mixed, near[:0]):
+        packed = fitting.pack_numbers(*[given[:, k] for k in range(lines)])
+        for part in (packed, packed.slice(3, 20)):
+            want = given if part is packed else given[3:23]
+            assert all((a == want[:, k]).all() for k, a in enumerate(fitting.unpack(part, lines, 27)))
+    assert fitting.pack_numbers(*[near[:, k] for k in range(lines)]).nbytes <= 40 * (lines * 60 + 4) + 4
