@@ -65,7 +65,7 @@ def spot_stages(photos: Callable[[dict[str, DataFrame]], DataFrame], distance: f
     ]
 
 
-def board_stages(spark: SparkSession, width: int | None = None, height: int | None = None, conf: Conf = CONF) -> Stages:
+def board_stages(spark: SparkSession, width: int | None = None, height: int | None = None) -> Stages:
     """sizes (by the number of pieces and of pieces with a flat side where not given), board, steps; from ``normal`` and ``fits``."""
     one = F.lit(0).cast("long").alias("board_id")
 
@@ -78,18 +78,18 @@ def board_stages(spark: SparkSession, width: int | None = None, height: int | No
 
     return [
         ("sizes", sizes),
-        ("board", lambda t: board.solve_boards(t["normal"].select(one, "piece_id").distinct(), t["fits"].select(one, "piece_id", "side", "other_piece", "other_side", "err"), t["sizes"], conf)),
+        ("board", lambda t: board.solve_boards(t["normal"].select(one, "piece_id").distinct(), t["fits"].select(one, "piece_id", "side", "other_piece", "other_side", "err"), t["sizes"])),
         ("steps", lambda t: stats.assembly_order(t["board"].drop("complete"), t["sizes"])),
     ]
 
 
 def phone_run(spark: SparkSession, folder: str, width: int | None = None, height: int | None = None, method: str | None = None, conf: Conf = CONF) -> Stages:
     """All stages for loose photos: duplicates are found by shape."""
-    return [*photo_stages(spark, folder, method), *match_stages(conf), *board_stages(spark, width, height, conf)]
+    return [*photo_stages(spark, folder, method), *match_stages(conf), *board_stages(spark, width, height)]
 
 
 def robot_run(spark: SparkSession, folder: str, photos: Callable[[dict[str, DataFrame]], DataFrame], width: int | None = None, height: int | None = None, conf: Conf = CONF) -> Stages:
     """All stages for photos with camera positions (batch_id, file_name, position, received_at): duplicates are found by place, then by shape no more."""
     by_shape = dict(match_stages(conf))
     rest = [(n, by_shape[n]) for n in ("kept", "normal", "fits")]
-    return [*photo_stages(spark, folder), *spot_stages(photos), *rest, *board_stages(spark, width, height, conf)]
+    return [*photo_stages(spark, folder), *spot_stages(photos), *rest, *board_stages(spark, width, height)]

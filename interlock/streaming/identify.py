@@ -150,7 +150,7 @@ class Store:
         pieces = self.table("sides").select(one, "piece_id").distinct()
         fits = self.table("fits").select(one, "piece_id", "side", "other_piece", "other_side", "err")
         sizes = self.spark.createDataFrame([(0, width, height)], "board_id long, width int, height int")
-        placed = staged(solve_boards(pieces, fits, sizes, self.conf), "solved")
+        placed = staged(solve_boards(pieces, fits, sizes), "solved")
         self.load_solution(placed, width, height)
         return placed.where("complete").count() == width * height
 

@@ -3,7 +3,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from interlock.operators.board import corners_and_edges, fill, fits_cell, generated_puzzle, solve_boards, solve_from, solve_partial, spiral
+from interlock.operators.board import corners_and_edges, fill, fits_cell, generated_puzzle, solve, solve_boards, solve_from, solve_partial, spiral
 from interlock.plans.search_queries import board_solve
 
 
@@ -93,3 +93,43 @@ def test_search_time_grows_with_the_board():
     began = time.process_time()
     placed = solve_from(g, corners_and_edges(g)[0][0], 100, 100)
     assert len(placed) == 10_000 and time.process_time() - began < 15
+
+
+def test_a_long_border_is_no_reason_to_give_up(spark):
+    """1,200 border cells; a limit of 1,000 steps made larger boards partial ones, and let a search that runs long end without its board."""
+    fits, answer = generated_puzzle(2, 600, 1)
+    want = adjacency({(x, y): (p, t) for p, x, y, t in answer})
+    g = graph(fits, [a[0] for a in answer])
+    corner = next(p for p, x, y, _ in answer if (x, y) == (0, 0))
+    assert adjacency(solve_from(g, corner, 2, 600)) == want
+    f = spark.createDataFrame([(1, *r) for r in fits], "board_id long, piece_id long, side int, other_piece long, other_side int, err double")
+    s = spark.createDataFrame([(1, 2, 600)], "board_id long, width int, height int")
+    got = solve_boards(f.select("board_id", "piece_id").distinct(), f, s).collect()
+    assert len(got) == 1200 and {r["complete"] for r in got} == {True}
+    assert adjacency({(r["x"], r["y"]): (r["piece_id"], r["orientation"]) for r in got}) == want
+
+
+def test_a_search_without_end_keeps_no_corner_from_its_turn():
+    """On a board that is wider than high half the corners lead nowhere; with any two border pieces fitting each other, their search would take years."""
+    fits, answer = generated_puzzle(16, 14, 2)
+    inner = [(p, (s - t) % 4, x, y) for p, x, y, t in answer for s, on in enumerate((y == 0, x == 15, y == 13, x == 0)) if not on]
+    border = [i for i in inner if i[2] in (0, 15) or i[3] in (0, 13)]
+    g = graph(fits + [(p, s, o, os, 2.0 + abs(p - o) / 1e6) for p, s, *_ in border for o, os, *_ in border if p != o], [a[0] for a in answer])
+    at = {(x, y): p for p, x, y, _ in answer}
+    wrong, right = [], []
+    for p in (at[0, 0], at[15, 0], at[15, 13], at[0, 13]):
+        (right if p in (at[0, 0], at[15, 13]) else wrong).append(p)
+    placed = solve(g, wrong + right, 16, 14)
+    assert adjacency(placed) == adjacency({(x, y): (p, t) for p, x, y, t in answer})
+
+
+def test_a_board_that_has_no_answer_ends():
+    """Without the fits of two neighbours all states run out; too few pieces with a flat side end it at once."""
+    fits, answer = generated_puzzle(13, 12, 3, noise=12)
+    ids, at = [a[0] for a in answer], {(x, y): p for p, x, y, _ in answer}
+    apart = graph([f for f in fits if {f[0], f[2]} != {at[1, 0], at[2, 0]}], ids)
+    assert all(solve_from(apart, c, 13, 12) is None for c in corners_and_edges(apart)[0])
+    whole = graph(fits, ids)
+    edge = at[4, 0]
+    whole[edge] = tuple(f or [(at[5, 5], 0, 1.0)] for f in whole[edge])
+    assert solve_from(whole, at[0, 0], 13, 12) is None
